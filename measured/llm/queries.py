@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, pieces, pii, quality, substrings, tokens
+from . import decontaminate, ngram_join, pieces, pii, quality, substrings, tokens
 from .common import table
 
 
@@ -19,6 +19,7 @@ QUERIES = {
     "op4_sentencepiece": lambda spark, d: pieces.digests(docs(spark, d), public_tokenizers.path("piece_bpe_32k.model")),
     "op7_quality": lambda spark, d: quality.verdicts(docs(spark, d)),
     "op8_substring_dedup": lambda spark, d: substrings.digests(docs(spark, d)),
+    "op9_ngram_jaccard": lambda spark, d: ngram_join.digests(docs(spark, d)),
     "op10_decontamination": lambda spark, d: decontaminate.digests(docs(spark, d), table(spark, d, "benchmark")),
 }
 
