@@ -158,7 +158,9 @@ def factors(docs: DataFrame, w: int) -> DataFrame:
     """
     d = keyed(docs)
     all_ = runs(d, w)
-    twice = all_.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    #: Counts are written before they are joined back: Spark splits a hot key
+    #: only where the join reads both sides straight from an exchange.
+    twice = written(all_.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "anchors")
     met = written(all_.join(twice, "anchor"), "phrases")
     blocks = written(met.groupBy("anchor", "whole").agg(F.count("*").alias("n"), F.min(F.struct("doc", "hash", "first", "last")).alias("one")), "blocks")
     copied = met.join(blocks.where("n > 1").select("anchor", "whole"), ["anchor", "whole"]).select("doc", "hash", "first", "last")
@@ -167,7 +169,7 @@ def factors(docs: DataFrame, w: int) -> DataFrame:
     partners = blocks.where("n > 1").join(alone.select("anchor").distinct(), "anchor", "left_semi")
     checks = alone.unionByName(partners).select("anchor", "one.*").groupBy("doc", "hash").agg(F.collect_list(F.struct("first", "last", "anchor")).alias("checks"))
     parts = written(windows(joined(d, written(checks, "checks"), ["doc", "hash"], "inner"), w), "windows")
-    again = parts.groupBy("anchor", "window").agg(F.count("*").alias("n")).where("n > 1").select("anchor", "window")
+    again = written(parts.groupBy("anchor", "window").agg(F.count("*").alias("n")).where("n > 1").select("anchor", "window"), "again")
     single = parts.join(again, ["anchor", "window"]).select("doc", "hash", "first", F.col("first").alias("last"))
     found = copied.unionByName(single).groupBy("doc", "hash").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
     arrow = pa.schema([("doc", pa.int64()), ("hash", pa.int64()), ("spans", pa.list_(pa.int64()))])
