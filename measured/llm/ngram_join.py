@@ -266,23 +266,25 @@ def grouped(docs: DataFrame) -> DataFrame:
     copies = have.where("n > 0").select("sid", "doc", "hash").join(reps.select("sid", F.col("doc").alias("_d"), F.col("hash").alias("_h")), "sid").where("doc <> _d or hash <> _h").select("doc", "hash").distinct()
     first = joined(d, written(copies, "copies"), ["doc", "hash"], "left_anti")
     tiles = written(shared(postings(first, sketch(all_))), "tiles")
-    pivots = tiles.groupBy("token").agg(F.min("sid").alias("a"))
+    #: Minima and counts are written before they are joined back, so that Spark
+    #: can split a hot key of the join.
+    pivots = written(tiles.groupBy("token").agg(F.min("sid").alias("a")), "pivots")
     stars = tiles.join(pivots, "token").select("a", F.col("sid").alias("b")).where("a <> b")
     near = linked(surviving(stars, reps), reps, d)
     labels = components(near)
     told = tiles.join(labels, tiles.sid == labels.node, "left").select(*tiles.columns, F.coalesce("label", "sid").alias("label"))
     told = written(told, "labelled")
     mixed_ = told.groupBy("token").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.count("*").alias("m")).where("l <> h")
-    blocks = F.ceil(F.col("m") / CELL)
+    mixed_ = written(mixed_.select("token", F.ceil(F.col("m") / CELL).alias("blocks")), "mixed")
     block = F.pmod(F.xxhash64("sid"), F.col("blocks"))
-    rest = told.join(mixed_.select("token", blocks.alias("blocks")), "token").withColumn("block", block)
+    rest = told.join(mixed_, "token").withColumn("block", block)
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))).withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
     cells = rest.select(*CELLS).repartition("token", "low", "high").sortWithinPartitions("token", "low", "high")
     more = linked(surviving(cell_pairs(cells), reps), reps, d)
     classes = components(near.unionByName(more))
     own = have.select("doc_id", "doc", "hash", F.col("n").alias("n_shingles"), "sid").join(classes, F.col("sid") == F.col("node"), "left").withColumn("label", F.coalesce("label", "sid"))
     own = written(own.select("doc_id", "doc", "hash", "n_shingles", "label"), "members")
-    low = own.where("n_shingles > 0").groupBy("label").agg(F.min("doc").alias("low"))
+    low = written(own.where("n_shingles > 0").groupBy("label").agg(F.min("doc").alias("low")), "lowest")
     empty = own.where("n_shingles = 0").withColumn("component_id", F.col("doc_id"))
     full = own.where("n_shingles > 0").join(low, "label").withColumn("component_id", F.when(F.col("low") != -(1 << 63), F.col("low")))
     names = ["doc_id", "doc", "hash", "n_shingles", "component_id"]
