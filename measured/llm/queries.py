@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, ngram_join, pieces, pii, quality, substrings, tokens, toxicity, warc
+from . import decontaminate, licenses, ngram_join, pieces, pii, quality, substrings, tokens, toxicity, warc
 from .common import table
 
 
@@ -18,6 +18,7 @@ QUERIES = {
     "op2_token_counts": lambda spark, d: tokens.counted(docs(spark, d), public_tokenizers.path("word_bpe_49k.json")),
     "op3_toxicity": lambda spark, d: toxicity.scored(docs(spark, d), table(spark, d, "labels")),
     "op4_sentencepiece": lambda spark, d: pieces.digests(docs(spark, d), public_tokenizers.path("piece_bpe_32k.model")),
+    "op5_licenses": lambda spark, d: licenses.digests(docs(spark, d)),
     "op6_warc": lambda spark, d: warc.round_trip(table(spark, d, "pages")),
     "op7_quality": lambda spark, d: quality.verdicts(docs(spark, d)),
     "op8_substring_dedup": lambda spark, d: substrings.digests(docs(spark, d)),
