@@ -232,24 +232,28 @@ def encoded(docs: DataFrame, model: str, end: bool = True) -> DataFrame:
     return per_row(pick(docs, ("doc_id", "bigint"), ("text", "string")), "doc_id bigint, ids array<int>, decoded string", rows, arrow)
 
 
-def digests(docs: DataFrame, model: str, end: bool = True) -> DataFrame:
+def digests(docs: DataFrame, model: str, end: bool = True, ids: bool = False) -> DataFrame:
     """encoded() with its lists as digests: n_tokens (all ids), ids_sha256 of
-    the decimal ids joined by a space, decoded_sha256 of the decoded text.
+    the decimal ids joined by a space, decoded_sha256 of the decoded text; with
+    ``ids`` the list of ids stays too.
 
-    They are taken where the ids are, so no list leaves the Python worker.
+    Digests are taken where the ids are; without ``ids`` no list leaves the
+    Python worker.
     """
-    arrow = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
+    arrow = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), *[("ids", pa.list_(pa.int32()))] * ids])
 
     def rows(b):
         p = pieces(model)
         sha = hashlib.sha256
         names = [str(i) for i in range(len(p.names))]
-        n, a, d = [], [], []
+        n, a, d, all_ = [], [], [], []
         for x in b.column(1).to_pylist():
-            ids = p.encode(x or "", end)
-            n.append(len(ids))
-            a.append(sha(" ".join([names[i] for i in ids]).encode()).hexdigest())
-            d.append(sha(p.decode(ids).encode()).hexdigest())
-        return b.column(0), n, a, d
-
-    return per_row(pick(docs, ("doc_id", "bigint"), ("text", "string")), "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string", rows, arrow)
+            got = p.encode(x or "", end)
+            n.append(len(got))
+            a.append(sha(" ".join([names[i] for i in got]).encode()).hexdigest())
+            d.append(sha(p.decode(got).encode()).hexdigest())
+            if ids:
+                all_.append(pa.array(got, pa.int32()))
+        return b.column(0), n, a, d, *[[x.to_numpy() for x in all_]] * ids
+
+    return per_row(pick(docs, ("doc_id", "bigint"), ("text", "string")), "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids, rows, arrow)
