@@ -10,7 +10,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows up to which the right side of a join is sent to every executor. It is
@@ -44,6 +44,14 @@ def pick(df: DataFrame, *wanted: tuple[str, str]) -> DataFrame:
     return flat.select(*[F.col(f"_{df.columns.index(n)}").cast(t).alias(n) for n, t in wanted])
 
 
+def numbered(df: DataFrame) -> tuple[DataFrame, Callable[[str], Column]]:
+    """df with columns named by number, which no extra column can clash with,
+    and a function from an original name to its column. toDF(*df.columns) of
+    what is made of it has the names again."""
+    reach(df.sparkSession)
+    return df.toDF(*[f"_{i}" for i in range(len(df.columns))]), lambda n: F.col(f"_{df.columns.index(n)}")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir.
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import per_row, pick, reach, utf8
+from .common import numbered, per_row, pick, utf8
 
 #: Bytes 0-9, a-z (A-Z as a-z) and those of other characters; all else parts words.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -121,7 +121,7 @@ def digests(docs: DataFrame, benchmark: DataFrame, size: int = 13) -> DataFrame:
 
 def kept(docs: DataFrame, benchmark: DataFrame, size: int = 13) -> DataFrame:
     """The rows of ``docs``, with all their columns, that aren't contaminated."""
-    reach(docs.sparkSession)
+    flat, c = numbered(docs)
     tables = sent(docs, searcher(benchmark, size))
 
     @F.pandas_udf("boolean")
@@ -133,4 +133,4 @@ def kept(docs: DataFrame, benchmark: DataFrame, size: int = 13) -> DataFrame:
 
         return column.map(judge)
 
-    return docs.where(clean("text"))
+    return flat.where(clean(c("text"))).toDF(*docs.columns)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import per_row, pick, reach
+from .common import numbered, per_row, pick
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -233,11 +233,13 @@ def redacted(docs: DataFrame) -> DataFrame:
 
     All other columns pass unchanged, null texts stay null.
     """
-    reach(docs.sparkSession)
+    flat, c = numbered(docs)
 
     @F.pandas_udf("string")
     def clean(column):
         return column.map(lambda x: redact(x, s) if x and (s := found(x)) else x)
 
-    out = docs.withColumn("text", clean("text"))
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+    n = docs.columns.index("n_chars") if "n_chars" in docs.columns else -1
+    t = docs.columns.index("text")
+    out = flat.withColumn(f"_{t}", clean(c("text")))
+    return (out.withColumn(f"_{n}", F.length(f"_{t}").cast(docs.schema.fields[n].dataType)) if n >= 0 else out).toDF(*docs.columns)

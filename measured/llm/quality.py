@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import joined, per_row, pick, utf8, written
+from .common import joined, numbered, per_row, pick, utf8, written
 
 SYMBOLS = bytes(b for b in range(256) if b not in b"#*$%&|<>")
 LETTERS = bytes(b for b in range(256) if 48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128)
@@ -153,8 +153,9 @@ def kept(docs: DataFrame) -> DataFrame:
     """
     out = judged(docs).where("not kept").select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")).distinct()
     gone = written(out, "rejected")
-    on = F.col("doc_id").cast("bigint").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_h"))
-    return joined(docs, gone, on, "left_anti")
+    flat, c = numbered(docs)
+    on = c("doc_id").cast("bigint").eqNullSafe(F.col("_d")) & (F.xxhash64(c("text")) == F.col("_h"))
+    return joined(flat, gone, on, "left_anti").toDF(*docs.columns)
 
 
 def verdicts(docs: DataFrame) -> DataFrame:
