@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 def walk(nodes: DataFrame, start: DataFrame, node: str = "id", parent: str = "parent_id", levels: int = 100) -> DataFrame:
     """Rows of start with all their descendants, by WITH RECURSIVE: every
     column of start is carried along from each root; for trees, as UNION ALL
-    does not end on a cycle."""
+    does not end on a cycle. Spark's limit on the rows of a recursion is lifted
+    for the session, as large tables pass it."""
     spark = nodes.sparkSession
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
     rest = [c for c in start.columns if c != node]
     carried = "".join(f", w.{c}" for c in rest)
     return spark.sql(
