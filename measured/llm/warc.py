@@ -4,13 +4,14 @@ A capture is written as up to three records: request, response (or revisit,
 where another capture has the same payload) and metadata, each naming its
 peers by WARC-Concurrent-To. Archives are written by Spark's own text writer
 with the record separator of the format as the line separator, so files go to
-any file system Spark knows and a lost task is written again. They are read as
-whole files and cut by Content-Length.
+any file system Spark knows and a lost task is written again; each file is one
+gzip stream. They are read as whole files and cut by Content-Length.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 
 import pyarrow as pa
@@ -86,7 +87,7 @@ def written_archives(pages: DataFrame) -> str:
         record("metadata", ids[2], ids[1], url, "application/warc-fields", note),
     )
     out = new_path(pages.sparkSession, "warc")
-    p.select(F.explode(rows).alias("value")).write.option("lineSep", BREAK).text(out)
+    p.select(F.explode(rows).alias("value")).write.option("lineSep", BREAK).option("compression", "gzip").text(out)
     return out
 
 
@@ -123,7 +124,8 @@ def records(spark: SparkSession, path: str) -> DataFrame:
         for b in batches:
             for content in b.column(0):
                 rows, held = [], 0
-                for head, block in parsed(content.as_py()):
+                raw = content.as_py()
+                for head, block in parsed(gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw):
                     kind = head["warc-type"]
                     answer = kind in ("response", "revisit")
                     fields, payload = http(block) if answer else ({}, b"")
