@@ -5,6 +5,7 @@ planned and within a budget of bytes read. Measures alter plans, never rows.
 from __future__ import annotations
 
 import logging
+import math
 from collections.abc import Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import words
+from ..functions import region, words
 
 log = logging.getLogger("measured")
 
@@ -228,6 +229,38 @@ class Stats:
     values: dict
 
 
+def cell_table(df: DataFrame, at: list[str], size: float) -> DataFrame:
+    """Rows per cell of a grid over point columns: cell0, cell1, .. and n."""
+    cells = [F.floor(F.col(c) / size).alias(f"cell{i}") for i, c in enumerate(at)]
+    return df.where(" and ".join(f"`{c}` is not null" for c in at)).groupBy(*cells).agg(F.count("*").alias("n"))
+
+
+def region_rows(cells: DataFrame, size: float, centre: list[float], radius: float, box: bool = False, most: int = 100_000) -> float | None:
+    """Rows in a ball (or box of half side radius) by its cells: whole ones
+    count in full, those on the edge by the share of their extent inside. Only
+    cells the region touches are read, ``most`` of them at most, else None."""
+    near = F.lit(True)
+    for i, c in enumerate(centre):
+        near = near & F.col(f"cell{i}").between(math.floor((c - radius) / size), math.floor((c + radius) / size))
+    found = cells.where(near).limit(most + 1).collect()
+    if len(found) > most:
+        return None
+    total = 0.0
+    for r in found:
+        key = region.Cube(tuple(float(x) * size for x in r[:-1]), tuple((float(x) + 1) * size for x in r[:-1]))
+        total += r["n"] * (region.box_share(key, region.Cube.around(centre, radius)) if box else region.ball_share(key, centre, radius))
+    return total
+
+
+def one_value(spark: SparkSession, text: str, by: list[str], joined_on: list[tuple[str, str]] = ()) -> bool:
+    """Whether all rows a predicate selects lie in one group: every grouping
+    column is fixed by an equality, itself or through equated columns."""
+    fixed = {c.column.strip("`") for c in conditions(spark, text) if c.kind == "equal"}
+    while more := {b for a, b in [*joined_on, *((b, a) for a, b in joined_on)] if a in fixed and b not in fixed}:
+        fixed |= more
+    return set(by) <= fixed
+
+
 def whole(shares: dict, nulls: float) -> dict:
     """Shares scaled so that they and the nulls make 1."""
     total = sum(shares.values())
