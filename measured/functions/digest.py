@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import reach
+
 # The hash's starts and prime.
 START_A, START_B, PRIME = 0xCBF29CE484222325, 0x6C62272E07BB0142, 0x100000001B3
 FULL = (1 << 64) - 1
@@ -82,6 +84,7 @@ def digest(df: DataFrame) -> tuple[int, str]:
     """Number of rows, and 32 hexadecimal digits. Hashes are taken on the
     executors a column of bytes at a time, over all rows of a batch at once,
     and only sums of them travel."""
+    reach(df.sparkSession)
 
     @F.pandas_udf("a decimal(20,0), b decimal(20,0)")
     def hashed(rows: pd.Series) -> pd.DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from contextlib import contextmanager
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -17,6 +18,14 @@ def session(master: str = "local[*]", **conf: str) -> SparkSession:
     return b.getOrCreate()
 
 
+def reach(spark: SparkSession) -> None:
+    """Lets Python workers import this package from where the driver did, for
+    sessions that were started without it on their path."""
+    root, env = str(Path(__file__).resolve().parents[1]), spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(":"):
+        env["PYTHONPATH"] = ":".join(filter(None, [root, env.get("PYTHONPATH", "")]))
+
+
 @contextmanager
 def settings(spark: SparkSession, **conf: str) -> Iterator[None]:
     """Settings (dots written as __) for a block, put back after it, errors
