@@ -132,7 +132,7 @@ class Measure:
     note: str
 
 
-class Surveyed:
+class Watched:
     """A table whose conditions are measured; with ``where``, only queries
     whose own conditions include it."""
 
@@ -153,7 +153,7 @@ class Surveyed:
 
     def rows(self, text: str) -> Measure | None:
         """How many rows a predicate selects, and each of its conjuncts alone:
-        one pass over the columns it names. None where it is not surveyed or
+        one pass over the columns it names. None where it is not covered or
         over budget."""
         round_ = _round.get()
         if round_ is None or not self.covers(text):
@@ -292,7 +292,7 @@ def at_most_one(df: DataFrame, keys: list[str], text: str) -> bool:
     return set(keys) <= fixed
 
 
-def sized(left: DataFrame, right: Surveyed, text: str, on, how: str = "inner", most_bytes: int = 32 << 20) -> DataFrame:
+def sized(left: DataFrame, right: Watched, text: str, on, how: str = "inner", most_bytes: int = 32 << 20) -> DataFrame:
     """left joined with right's rows that a predicate selects: broadcast if
     the measured rows are few by bytes, shuffled else or if not measured."""
     m = right.rows(text)

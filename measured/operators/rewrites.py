@@ -83,7 +83,7 @@ class TwoSided:
     def _whole(self, g: Agg) -> bool:
         return isinstance((self.a if g.side == "a" else self.b).schema[g.column].dataType, T.IntegralType)
 
-    def respelled(self) -> DataFrame:
+    def regrouped(self) -> DataFrame:
         """Grouped on each side first; side b only at keys that side a holds."""
         self.check()
 
@@ -110,8 +110,8 @@ class TwoSided:
         return side_a.join(side_b, self.key).groupBy(*self.by_a, *self.by_b).agg(*[total(g).alias(g.alias) for g in self.aggs])
 
     def best(self) -> DataFrame:
-        """The respelled query, or the written one where that is refused."""
+        """The regrouped query, or the written one where that is refused."""
         try:
-            return self.respelled()
+            return self.regrouped()
         except Refused:
             return self.written()

@@ -30,15 +30,15 @@ def sides(spark):
 def test_two_sided(sides):
     aggs = [Agg("count_rows", "n"), Agg("count_distinct", "d", "a", "x"), Agg("sum", "s", "b", "y"), Agg("sum", "sa", "a", "x"), Agg("min", "lo", "b", "y"), Agg("max", "hi", "a", "x")]
     two = TwoSided(*sides, ["k"], ["ga"], ["gb"], aggs, {"x"})
-    assert same(two.respelled(), two.written())
-    assert "LeftSemi" in two.respelled()._jdf.queryExecution().optimizedPlan().toString()
+    assert same(two.regrouped(), two.written())
+    assert "LeftSemi" in two.regrouped()._jdf.queryExecution().optimizedPlan().toString()
 
 
 def test_two_sided_refusals(sides):
     for agg, unique in ((Agg("count_distinct", "d", "a", "x"), set()), (Agg("sum", "s", "b", "z"), set()), (Agg("avg", "s", "b", "y"), set()), (Agg("count_distinct", "d", "b", "y"), {"y"})):
         two = TwoSided(*sides, ["k"], ["ga"], ["gb"], [agg], unique)
         with pytest.raises(Refused):
-            two.respelled()
+            two.regrouped()
     two = TwoSided(*sides, ["k"], ["ga"], ["gb"], [Agg("count_distinct", "d", "a", "x")])
     assert same(two.best(), two.written())
 
@@ -112,7 +112,7 @@ def test_word_queries(spark):
 def test_measures(spark, small):
     o, p = tables.Tables(spark, small).orders, tables.Tables(spark, small).part
     text = "month(o_orderdate) = 12 AND o_custkey < 50"
-    s = measure.Surveyed("orders", o)
+    s = measure.Watched("orders", o)
     assert s.rows(text) is None
     with measure.planning(10 * s.size) as r:
         assert s.rows(text).rows == o.where(text).count() and s.rows(text) is s.rows(text)
@@ -122,7 +122,7 @@ def test_measures(spark, small):
             s.rows("o_custkey = 1")
             raise RuntimeError
         assert r.budget.used == used + s.size
-        parts = measure.Surveyed("part", p)
+        parts = measure.Watched("part", p)
         true = p.where("p_name ilike '%giz%'").count()
         assert true <= parts.pattern_rows("p_name", "%giz%") and parts.pattern_rows("p_name", "%Giz%", cased=True) is None
         assert parts.word_rows("p_name", words.parse("ring")) == p.where(words.matches(words.tokens(F.col("p_name")), words.parse("ring"))).count()
@@ -137,7 +137,7 @@ def test_conditions(spark):
     assert kinds == ["equal", "range", "list", "other", "null", "notnull", "other"]
     df = spark.createDataFrame([(1, 2)], "k long, j long")
     assert measure.at_most_one(df, ["k"], "k = 1 and j > 2") and not measure.at_most_one(df, ["k", "j"], "k = 1")
-    partial = measure.Surveyed("t", df, where="k > 0", size=1)
+    partial = measure.Watched("t", df, where="k > 0", size=1)
     assert partial.covers("k > 0 and j = 1") and not partial.covers("j = 1")
 
 
@@ -150,7 +150,7 @@ def test_shares():
 
 def test_sized_join(spark, small):
     t = tables.Tables(spark, small)
-    c = measure.Surveyed("customer", t.customer)
+    c = measure.Watched("customer", t.customer)
     with measure.planning(10 * c.size):
         df = measure.sized(t.orders, c, "c_custkey < 50", F.col("o_custkey") == F.col("c_custkey"), most_bytes=10 * c.size)
         assert "BroadcastHashJoin" in df._jdf.queryExecution().executedPlan().toString()
