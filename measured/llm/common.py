@@ -5,14 +5,14 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import reach, settings
+
 #: Rows up to which the right side of a join is sent to every executor. It is
 #: compared with a count of that side; larger sides are joined by a shuffle.
 BROADCAST_ROWS = 200_000
@@ -20,14 +20,6 @@ BROADCAST_ROWS = 200_000
 LOWER_AZ = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
-def reach(spark: SparkSession) -> None:
-    """Lets Python workers import this package from where the driver did, for
-    sessions that were started without it on their path."""
-    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
-    if root not in env.get("PYTHONPATH", "").split(":"):
-        env["PYTHONPATH"] = ":".join(filter(None, [root, env.get("PYTHONPATH", "")]))
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -74,7 +66,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
     lost executor costs nothing that was finished."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    #: Rows may be wide; a batch for Python holds few of them.
+    with settings(spark, spark__sql__execution__arrow__maxRecordsPerBatch="1000"):
+        df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._measured_path = path
     return out
@@ -94,25 +88,63 @@ def joined(left: DataFrame, right: DataFrame, on, how: str, rows: int = BROADCAS
     return left.join(F.broadcast(right) if right.limit(rows + 1).count() <= rows else right, on, how)
 
 
-class Hashes(dict):
-    """64-bit hash of each word; keeps up to ``most`` words."""
+ODD = 0x9E3779B97F4A7C15
+BACK = pow(ODD, -1, 1 << 64)
+
+_powers: dict[int, np.ndarray] = {}
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """base^0 .. base^(n-1) modulo 2^64."""
+    have = _powers.get(base)
+    if have is None or len(have) < n:
+        have = np.full(max(1024, 2 * n), base, np.uint64)
+        have[0] = 1
+        have = _powers[base] = np.multiply.accumulate(have)
+    return have[:n]
 
-    def __init__(self, most: int = 400_000):
-        super().__init__()
-        self.most = most
 
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh3_64_intdigest(word)
-        if len(self) < self.most:
-            self[word] = h
-        return h
+def mixed(x: np.ndarray) -> np.ndarray:
+    """The splitmix64 finalizer, which spreads every bit."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
+#: A number for each byte, and the same with A-Z as a-z.
+BYTES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(ODD))
+BYTES_LOW = BYTES[np.frombuffer(LOWER_AZ, np.uint8)]
+IN_WORD = np.array([b not in b" \t\n\v\f\r" for b in range(256)])
+#: Bytes of text hashed at once; a longer text is cut between words.
+PART = 1 << 22
 
-#: One per Python worker, kept between its tasks.
-HASHES = Hashes()
+
+def word_hashes(text: bytes, lower: bool = False) -> np.ndarray:
+    """64-bit hashes of the words of a text, parted by white space of ASCII.
+
+    All words of a text are hashed together, as differences of prefix sums.
+    """
+    if len(text) > 2 * PART:
+        parts, at = [], 0
+        while at < len(text):
+            end = at + PART
+            while end < len(text) and IN_WORD[text[end]]:
+                end += 1
+            parts.append(_hashes(text[at:end], lower))
+            at = end
+        return np.concatenate(parts)
+    return _hashes(text, lower)
+
+
+def _hashes(text: bytes, lower: bool) -> np.ndarray:
+    a = np.frombuffer(text, np.uint8)
+    inside = np.zeros(len(a) + 2, np.int8)
+    inside[1:-1] = IN_WORD[a]
+    step = np.diff(inside)
+    start, end = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+    sums = np.zeros(len(a) + 1, np.uint64)
+    np.cumsum((BYTES_LOW if lower else BYTES)[a] * powers(ODD, len(a)), out=sums[1:])
+    return mixed((sums[end] - sums[start]) * powers(BACK, len(a) + 1)[start] + (end - start).astype(np.uint64))
 
 
 def utf8(column: pa.Array) -> list[bytes]:
@@ -124,6 +156,13 @@ def texts(column: pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Batches cut to few rows each, so that what is made of one stays small."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 def per_row(df: DataFrame, schema: str, rows: Callable[[pa.RecordBatch], Iterable], arrow: pa.Schema) -> DataFrame:
     """Each Arrow batch of df mapped to columns of ``arrow``, without a shuffle.
 
@@ -131,9 +170,8 @@ def per_row(df: DataFrame, schema: str, rows: Callable[[pa.RecordBatch], Iterabl
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) if not isinstance(c, pa.Array) else c for c, f in zip(rows(b), arrow, strict=True)], schema=arrow)
+        for b in slices(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) if not isinstance(c, pa.Array) else c for c, f in zip(rows(b), arrow, strict=True)], schema=arrow)
 
     return df.mapInArrow(run, schema)
 

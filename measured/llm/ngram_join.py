@@ -3,48 +3,51 @@
 Documents with equal sets are one class. A set's rarest shingles, by a counting
 sketch of fixed size over all documents, are its prefix: two sets as similar
 as asked share a shingle of their prefixes. Sets that share one form a tile.
-First each tile's sets are compared with its smallest; then tiles are cut into
-cells of bounded size, in which the sets of different components are compared.
-Either way a pair must pass the size band, the place of the shared shingle and
+Tiles are cut into cells of bounded size, in which sets of different components
+are compared: a pair must pass the size band, the place of the shared shingle and
 the bit counts of two hashed bitmaps, which all bound the overlap from above,
-before the sorted arrays are intersected.
+before the sorted arrays are intersected. Two rounds take only each set's nearest
+few by that bound, which joins large groups of copies with few pairs; the last
+takes every pair that is left between different components.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import HASHES, LOWER_AZ, drop_written, joined, pick, reach, utf8, written
+from .common import ODD, drop_written, joined, mixed, numbered, reach, slices, utf8, word_hashes, written
 from .components import components
-from .substrings import keyed, mixed
+from .substrings import keyed
 
 #: Least similarity as a fraction.
 NUM, DEN = 3, 4
 SHINGLE = 5
-#: Counters of the sketch that orders shingles, whatever the input.
-COUNTERS = 1 << 16
+#: Counters of the sketch that orders shingles, whatever the input, and how
+#: many of them travel in one row.
+COUNTERS, BLOCK = 1 << 20, 1 << 12
 #: Words of 64 bits in a bitmap.
 BITS = 16
 #: Sets of a tile that one cell compares with each other.
 CELL = 256
-
-ODD = np.uint64(0x9E3779B97F4A7C15)
+#: Pairs a set has at most in a round before the last.
+MATES = 3
 
 
 def shingles(text: bytes) -> np.ndarray:
     """Hashes of the distinct shingles of a text, sorted."""
-    words = text.translate(LOWER_AZ).split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = HASHES.of(words)
+    h = word_hashes(text, lower=True)
+    if not len(h):
+        return h
     k = min(SHINGLE, len(h))
     n = len(h) - k + 1
     a = np.full(n, k, np.uint64)
     for j in range(k):
-        a = (a ^ h[j : j + n]) * ODD
+        a = (a ^ h[j : j + n]) * np.uint64(ODD)
         a ^= a >> np.uint64(29)
     return np.unique(mixed(a))
 
@@ -61,21 +64,22 @@ def bitmap(tokens: np.ndarray) -> np.ndarray:
 
 def identity(tokens: np.ndarray) -> int:
     """A set's 64-bit name: the hash of its sorted members."""
-    return HASHES.__missing__(tokens.tobytes()) - (1 << 63) if len(tokens) else 0
+    return xxhash.xxh3_64_intdigest(tokens.tobytes()) - (1 << 63) if len(tokens) else 0
 
 
 B = [f"b{i}" for i in range(BITS)]
-SET = "doc_id bigint, doc bigint, hash bigint, n bigint, sid bigint, " + ", ".join(f"{b} bigint" for b in B)
-SET_ARROW = pa.schema([(f.split()[0], pa.int64()) for f in SET.split(", ")])
+SET = "doc_id bigint, doc bigint, hash bigint, n bigint, sid bigint, " + ", ".join(f"{b} bigint" for b in B) + ", counts binary"
+SET_ARROW = pa.schema([(f.split()[0], pa.binary() if f.endswith("binary") else pa.int64()) for f in SET.split(", ")])
 
 
 def sets(docs: DataFrame) -> DataFrame:
     """Size, name and bitmap of each text's set; besides, in rows whose n is
-    -1, the task's counts of the sketch: counter in sid, count in doc."""
+    -1, the task's counts of the sketch, a block of counters to a row: the
+    block in sid, a number from 0 to 63 that spreads tasks in doc."""
 
     def run(batches):
         counts = np.zeros(COUNTERS, np.int64)
-        for b in batches:
+        for b in slices(batches):
             ids, doc, key = (c.to_pylist() for c in b.columns[:3])
             n, sid, maps, all_ = [], [], np.zeros((b.num_rows, BITS), np.int64), []
             for i, text in enumerate(utf8(b.column(3))):
@@ -86,37 +90,50 @@ def sets(docs: DataFrame) -> DataFrame:
                 all_.append(t)
             if all_:
                 counts += np.bincount(slot(np.concatenate(all_)), minlength=COUNTERS)
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (ids, doc, key, n, sid, *maps.T)], schema=SET_ARROW)
-        used = np.flatnonzero(counts)
-        if len(used):
-            none = pa.nulls(len(used), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, pa.array(counts[used]), none, pa.array(np.full(len(used), -1)), pa.array(used), *[none] * BITS], schema=SET_ARROW)
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in (ids, doc, key, n, sid, *maps.T)), pa.nulls(len(n), pa.binary())], schema=SET_ARROW)
+        parts = counts.reshape(-1, BLOCK)
+        used = np.flatnonzero(parts.any(1))
+        none = pa.nulls(len(used), pa.int64())
+        number = TaskContext.get().partitionId() % 64
+        yield pa.RecordBatch.from_arrays([none, pa.array(np.full(len(used), number)), none, pa.array(np.full(len(used), -1)), pa.array(used), *[none] * BITS, pa.array([parts[i].tobytes() for i in used], pa.binary())], schema=SET_ARROW)
 
     return docs.select("doc_id", "doc", "hash", "text").mapInArrow(run, SET)
 
 
 def sketch(all_sets: DataFrame) -> np.ndarray:
-    """Sum of all tasks' counts: COUNTERS numbers, however many the rows."""
-    out = np.zeros(COUNTERS, np.int64)
-    for slot_, count in all_sets.where("n = -1").groupBy("sid").agg(F.sum("doc").alias("doc")).collect():
-        out[slot_] = count
-    return out
+    """Sum of all tasks' counts: COUNTERS numbers, however many the rows. Tasks
+    are summed in 64 parts first, so no group is large."""
+
+    def add(t: pa.Table) -> pa.Table:
+        total = np.zeros(BLOCK, np.int64)
+        for x in t.column("counts"):
+            total += np.frombuffer(x.as_py(), np.int64)
+        return pa.table({"sid": t.column("sid")[:1], "doc": t.column("doc")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
+
+    some = all_sets.where("n = -1").select("sid", "doc", "counts")
+    for by in (["sid", "doc"], ["sid"]):
+        some = some.groupBy(*by).applyInArrow(add, "sid bigint, doc bigint, counts binary")
+    out = np.zeros(COUNTERS, np.int64).reshape(-1, BLOCK)
+    for r in some.collect():
+        out[r["sid"]] = np.frombuffer(r["counts"], np.int64)
+    return out.reshape(-1)
 
 
-POST = "token bigint, sid bigint, n int, place int, hot boolean"
-POST_ARROW = pa.schema([("token", pa.int64()), ("sid", pa.int64()), ("n", pa.int32()), ("place", pa.int32()), ("hot", pa.bool_())])
+#: at is the set's size times 2^32 plus the shingle's place in its prefix.
+POST = "token bigint, sid bigint, at bigint, hot boolean"
+POST_ARROW = pa.schema([("token", pa.int64()), ("sid", pa.int64()), ("at", pa.int64()), ("hot", pa.bool_())])
 
 
 def postings(docs: DataFrame, counts: np.ndarray) -> DataFrame:
     """The prefix of each text's set: its n - ceil(t n) + 1 rarest shingles,
     each with its place. hot: the counter is so high that the tile could be
     larger than a task's fair share."""
-    sent = docs.sparkSession.sparkContext.broadcast(counts)
+    sent = docs.sparkSession.sparkContext.broadcast(counts.astype(np.uint32) if counts.max() < 1 << 32 else counts)
     most = int(counts.mean() + 1000 + 10 * counts.mean() ** 0.5)
 
     def run(batches):
         c = sent.value
-        for b in batches:
+        for b in slices(batches):
             out: list[list[np.ndarray]] = [[] for _ in POST_ARROW]
             for text in utf8(b.column(0)):
                 t = shingles(text)
@@ -126,7 +143,7 @@ def postings(docs: DataFrame, counts: np.ndarray) -> DataFrame:
                 size = n - -(-NUM * n // DEN) + 1
                 many = c[slot(t)]
                 first = np.lexsort((t, many))[:size]
-                for o, v in zip(out, (t[first].view(np.int64), np.full(size, identity(t)), np.full(size, n), np.arange(size), many[first] > most), strict=True):
+                for o, v in zip(out, (t[first].view(np.int64), np.full(size, identity(t)), (n << 32) + np.arange(size), many[first] > most), strict=True):
                     o.append(v)
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o), f.type) for o, f in zip(out, POST_ARROW, strict=True)], schema=POST_ARROW)
@@ -137,8 +154,9 @@ def postings(docs: DataFrame, counts: np.ndarray) -> DataFrame:
 def shared(p: DataFrame) -> DataFrame:
     """Postings whose token another posting has too, and all hot ones.
 
-    Cold tokens are sorted together and passed through one row at a time; as
-    hot ones don't take part, none has more rows than its counter allows.
+    Cold tokens are sorted together and passed through one row at a time; hot
+    ones are dealt by their sets, so no token has more rows in one task than
+    its counter allows.
     """
 
     def run(batches):
@@ -148,50 +166,75 @@ def shared(p: DataFrame) -> DataFrame:
                 b = pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0]
             t = b.column(0).to_numpy()
             same = t[1:] == t[:-1]
-            hit = np.r_[False, same] | np.r_[same, False]
+            hit = np.r_[False, same] | np.r_[same, False] | b.column(3).to_numpy(zero_copy_only=False)
             if held is not None and carried:
                 hit[0] = True
             #: The last row waits for the next batch.
-            carried = bool(len(t) > 1 and same[-1]) or bool(len(t) == 1 and hit[0])
+            carried = bool(hit[-1])
             yield b.slice(0, len(t) - 1).filter(pa.array(hit[:-1]))
             held = b.slice(len(t) - 1)
         if held is not None and carried:
             yield held
 
-    cold = p.where("not hot").repartition("token").sortWithinPartitions("token", "sid").mapInArrow(run, POST)
-    return cold.unionByName(p.where("hot")).drop("hot").distinct()
+    dealt = F.when(F.col("hot"), F.xxhash64("sid", "token")).otherwise(F.col("token"))
+    rows = p.withColumn("key", dealt).repartition("key").sortWithinPartitions("token", "sid").select("token", "sid", "at", "hot").mapInArrow(run, POST)
+    place = F.col("at").bitwiseAND((1 << 32) - 1).cast("int").alias("place")
+    return rows.drop("hot").distinct().select("token", "sid", F.shiftright("at", 32).cast("int").alias("n"), place)
 
 
-def bound(one: str, two: str):
-    """Whether bitmaps allow an overlap of 3/7 of both sizes: of one set's
-    members no more are shared than do not lie on bits the other lacks."""
-    lacks = lambda x, y: sum((F.bit_count(F.col(f"{x}.{b}").bitwiseAND(F.bitwise_not(F.col(f"{y}.{b}")))) for b in B), F.lit(0))
-    n, m = F.col(f"{one}.n"), F.col(f"{two}.n")
-    return (F.least(n - lacks(one, two), m - lacks(two, one)) * (NUM + DEN) >= NUM * (n + m)) & (DEN * F.least(n, m) >= NUM * F.greatest(n, m))
+def wide_bitmap(tokens: np.ndarray) -> bytes:
+    """A bitmap of 8 to 16 bits a member, a power of two long."""
+    size = 8 << max(7, (max(1, len(tokens)) - 1).bit_length())
+    seen = np.zeros(size, np.uint8)
+    seen[((tokens >> np.uint64(16)) & np.uint64(size - 1)).astype(np.int64)] = 1
+    return np.packbits(seen).tobytes()
 
 
-def surviving(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) that the bitmaps let through."""
-    x, y = reps.alias("x"), reps.alias("y")
-    return pairs.distinct().join(x, F.col("a") == F.col("x.sid")).join(y, F.col("b") == F.col("y.sid")).where(bound("x", "y")).select("a", "b")
+def bounded(n: int, m: int, x: bytes, y: bytes) -> bool:
+    """Whether two wide bitmaps allow the similarity asked; the longer is
+    folded to the shorter's length."""
+    p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    while len(p) != len(q):
+        if len(p) > len(q):
+            p = p[: len(p) // 2] | p[len(p) // 2 :]
+        else:
+            q = q[: len(q) // 2] | q[len(q) // 2 :]
+    most = min(n - int(np.bitwise_count(p & ~q).sum()), m - int(np.bitwise_count(q & ~p).sum()))
+    return most * (NUM + DEN) >= NUM * (n + m)
 
 
 def linked(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs whose sets are similar, by intersecting their sorted arrays;
-    a written table. Only texts of sets in some pair are read again."""
+    a written table. Only texts of sets in some pair are read again. Bitmaps
+    as long as the sets, an eighth of the arrays, go first and leave few pairs
+    whose arrays have to meet. Those of a, of which few may have many pairs, are joined first, while the pairs are
+    narrow."""
     pairs = written(pairs, "pairs")
+    ones = written(pairs.select("a").distinct(), "ones")
     need = written(pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct().join(reps, "sid").select("sid", "doc", "hash"), "need")
 
     def members(batches):
-        for b in batches:
-            got = [shingles(x).tobytes() for x in utf8(b.column(1))]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.binary())], names=["sid", "members"])
-
-    full = written(joined(docs, need, ["doc", "hash"], "inner").select("sid", "text").mapInArrow(members, "sid bigint, members binary").dropDuplicates(["sid"]), "members")
-    x, y = (full.select(F.col("sid").alias(k), F.col("members").alias(f"m{k}")) for k in "ab")
+        for b in slices(batches):
+            got = [shingles(x) for x in utf8(b.column(1))]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in got], pa.int64()), pa.array([wide_bitmap(x) for x in got], pa.binary()), pa.array([x.tobytes() for x in got], pa.binary())], names=["sid", "n", "map", "members"])
+
+    texts = joined(docs, need, ["doc", "hash"], "inner").select("sid", "text")
+    full = written(texts.mapInArrow(members, "sid bigint, n bigint, map binary, members binary"), "members")
+    if full.select("sid").distinct().count() < full.count():
+        full = written(full.dropDuplicates(["sid"]), "members")
+
+    def met(these: DataFrame, ones: DataFrame, *columns: str) -> DataFrame:
+        x, y = (full.select(F.col("sid").alias(k), *[F.col(c).alias(c + k) for c in columns]) for k in "ab")
+        both = these.join(joined(x, ones, "a", "left_semi"), "a").join(y, "b")
+        return both.select("a", "b", *[c + k for c in columns for k in "ab"])
+
+    def prune(batches):
+        for b in slices(batches):
+            keep = [bounded(*r) for r in zip(*[c.to_pylist() for c in b.columns[2:]], strict=True)]
+            yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     def compare(batches):
-        for b in batches:
+        for b in slices(batches):
             keep = []
             for p, q in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                 p, q = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
@@ -199,8 +242,10 @@ def linked(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
                 keep.append(DEN * both >= NUM * (len(p) + len(q) - both))
             yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    out = written(pairs.join(x, "a").join(y, "b").select("a", "b", "ma", "mb").mapInArrow(compare, "a bigint, b bigint"), "linked")
-    for t in (pairs, need, full):
+    left = written(met(pairs, ones, "n", "map").mapInArrow(prune, "a bigint, b bigint"), "left")
+    few = written(left.select("a").distinct(), "few")
+    out = written(met(left, few, "members").mapInArrow(compare, "a bigint, b bigint"), "linked")
+    for t in (pairs, ones, need, full, left, few):
         drop_written(t)
     return out
 
@@ -208,14 +253,44 @@ def linked(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
 CELLS = ["token", "low", "high", "block", "sid", "label", "n", "place"]
 
 
-def cell_pairs(rows: DataFrame) -> DataFrame:
-    """Pairs of different labels within each cell that can still be similar
-    by size and place. Cells arrive whole and in order; those of a batch are
-    compared together, each row with the next, the one after it, and so on."""
+def cells(told: DataFrame, reps: DataFrame, across: bool) -> DataFrame:
+    """Rows of tiles with sets of different labels, cut into cells of about
+    CELL sets, whole cells to a task. Tiles with the same members are one, in
+    which each member has its lowest place. across: every two blocks of a tile
+    also form a cell, so any two members meet once; otherwise each member is
+    in one block, another one in each tile.
+    """
+    who = F.xxhash64("sid"), F.xxhash64("sid", F.lit(1))
+    mixed_ = told.groupBy("token").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.count("*").alias("m"), *[F.bit_xor(x).alias(f"w{i}") for i, x in enumerate(who)]).where("l <> h")
+    #: Minima and counts are written before they are joined back, so that Spark
+    #: can split a hot key of the join.
+    mixed_ = written(mixed_.select("token", "m", "w0", "w1"), "mixed")
+    one = written(mixed_.groupBy("m", "w0", "w1").agg(F.min("token").alias("tile")), "one")
+    named = written(mixed_.join(one, ["m", "w0", "w1"]).select("token", "tile", F.ceil(F.col("m") / CELL).alias("blocks")), "named")
+    rows = told.join(named, "token").groupBy(F.col("tile").alias("token"), "sid").agg(F.min("place").alias("place"), F.first("n").alias("n"), F.first("label").alias("label"), F.first("blocks").alias("blocks"))
+    if across:
+        rows = rows.withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+        rows = rows.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
+    else:
+        rows = rows.withColumn("block", F.pmod(F.xxhash64("sid", "token"), F.col("blocks"))).withColumn("low", F.col("block")).withColumn("high", F.col("block"))
+    return rows.join(reps.select("sid", *B), "sid").select(*CELLS, *B).repartition("token", "low", "high").sortWithinPartitions("token", "low", "high")
+
+
+def cell_pairs(rows: DataFrame, best: bool) -> DataFrame:
+    """Pairs (a, b) of different labels within each cell that can still be
+    similar by size, place and bitmaps: of a set's members no more are shared
+    than do not lie on bits the other lacks. near is that bound as a share of
+    both sizes. best: only the pair of each row whose bound is highest.
+
+    Cells arrive whole and in order; those of a batch are compared together,
+    each row with the next, the one after it, and so on.
+    """
 
-    def compare(c: dict[str, np.ndarray]):
+    def compare(c: dict[str, np.ndarray]) -> pa.RecordBatch:
         start = np.flatnonzero(np.r_[True, (c["token"][1:] != c["token"][:-1]) | (c["low"][1:] != c["low"][:-1]) | (c["high"][1:] != c["high"][:-1])])
         last = np.repeat(np.r_[start[1:], len(c["token"])], np.diff(np.r_[start, len(c["token"])]))
+        maps = np.stack([c[b] for b in B], 1).view(np.uint64)
+        top, mate = np.zeros(len(last)), np.full(len(last), -1)
         i, d, out = np.arange(len(last)), 1, []
         while len(i := i[i + d < last[i]]):
             j = i + d
@@ -223,17 +298,29 @@ def cell_pairs(rows: DataFrame) -> DataFrame:
             ok = (c["label"][i] != c["label"][j]) & ((c["low"][i] == c["high"][i]) | (c["block"][i] != c["block"][j]))
             ok &= DEN * np.minimum(n, m) >= NUM * np.maximum(n, m)
             ok &= np.minimum(n - c["place"][i], m - c["place"][j]) * (NUM + DEN) >= NUM * (n + m)
-            out.append(np.stack([c["sid"][i[ok]], c["sid"][j[ok]]]))
+            x, y, n, m = i[ok], j[ok], n[ok], m[ok]
+            lacks = [np.bitwise_count(maps[p] & ~maps[q]).sum(1, dtype=np.int64) for p, q in ((x, y), (y, x))]
+            most = np.minimum(n - lacks[0], m - lacks[1])
+            ok = most * (NUM + DEN) >= NUM * (n + m)
+            x, y, near = x[ok], y[ok], (most / (n + m))[ok]
+            if best:
+                for p, q in ((x, y), (y, x)):
+                    more = near > top[p]
+                    top[p[more]], mate[p[more]] = near[more], q[more]
+            else:
+                out.append(np.stack([c["sid"][x], c["sid"][y]]))
             d += 1
-        p = np.concatenate(out, 1) if out else np.zeros((2, 0), np.int64)
-        p = np.unique(np.sort(p, 0), axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(p[0]), pa.array(p[1])], names=["a", "b"])
+        if best:
+            x = np.flatnonzero(mate >= 0)
+            return pa.RecordBatch.from_arrays([pa.array(c["sid"][x]), pa.array(c["sid"][mate[x]]), pa.array(top[x])], names=["a", "b", "near"])
+        p = np.unique(np.sort(np.concatenate(out, 1), 0), axis=1) if out else np.zeros((2, 0), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(p[0]), pa.array(p[1]), pa.array(np.zeros(p.shape[1]))], names=["a", "b", "near"])
 
     def run(batches):
         held: pa.RecordBatch | None = None
         for b in batches:
             t = pa.Table.from_batches([held, b] if held is not None else [b]).combine_chunks()
-            c = {k: t.column(k).to_numpy() for k in CELLS}
+            c = {k: t.column(k).to_numpy() for k in [*CELLS, *B]}
             k = len(t) - 1
             while k and (c["token"][k - 1], c["low"][k - 1], c["high"][k - 1]) == (c["token"][-1], c["low"][-1], c["high"][-1]):
                 k -= 1
@@ -241,9 +328,16 @@ def cell_pairs(rows: DataFrame) -> DataFrame:
                 yield compare({x: v[:k] for x, v in c.items()})
             held = t.slice(k).combine_chunks().to_batches()[0]
         if held is not None:
-            yield compare({k: held.column(k).to_numpy() for k in CELLS})
+            yield compare({k: held.column(k).to_numpy() for k in [*CELLS, *B]})
+
+    return rows.mapInArrow(run, "a bigint, b bigint, near double")
 
-    return rows.select(*CELLS).mapInArrow(run, "a bigint, b bigint")
+
+def nearest(pairs: DataFrame) -> DataFrame:
+    """Each set's MATES nearest others: no more pairs than that many a set."""
+    w = Window.partitionBy("a").orderBy(F.desc("near"), "b")
+    top = pairs.groupBy("a", "b").agg(F.max("near").alias("near")).withColumn("k", F.row_number().over(w)).where(F.col("k") <= MATES)
+    return top.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def grouped(docs: DataFrame) -> DataFrame:
@@ -264,26 +358,23 @@ def grouped(docs: DataFrame) -> DataFrame:
     have = all_.where("n >= 0")
     reps = written(have.where("n > 0").groupBy("sid").agg(F.min(F.struct("doc", "hash", "n", *B)).alias("r")).select("sid", "r.*"), "classes")
     copies = have.where("n > 0").select("sid", "doc", "hash").join(reps.select("sid", F.col("doc").alias("_d"), F.col("hash").alias("_h")), "sid").where("doc <> _d or hash <> _h").select("doc", "hash").distinct()
-    first = joined(d, written(copies, "copies"), ["doc", "hash"], "left_anti")
+    copies = written(copies, "copies")
+    first = joined(d, copies, ["doc", "hash"], "left_anti")
     tiles = written(shared(postings(first, sketch(all_))), "tiles")
-    #: Minima and counts are written before they are joined back, so that Spark
-    #: can split a hot key of the join.
-    pivots = written(tiles.groupBy("token").agg(F.min("sid").alias("a")), "pivots")
-    stars = tiles.join(pivots, "token").select("a", F.col("sid").alias("b")).where("a <> b")
-    near = linked(surviving(stars, reps), reps, d)
-    labels = components(near)
-    told = tiles.join(labels, tiles.sid == labels.node, "left").select(*tiles.columns, F.coalesce("label", "sid").alias("label"))
-    told = written(told, "labelled")
-    mixed_ = told.groupBy("token").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.count("*").alias("m")).where("l <> h")
-    mixed_ = written(mixed_.select("token", F.ceil(F.col("m") / CELL).alias("blocks")), "mixed")
-    block = F.pmod(F.xxhash64("sid"), F.col("blocks"))
-    rest = told.join(mixed_, "token").withColumn("block", block)
-    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))).withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
-    cells = rest.select(*CELLS).repartition("token", "low", "high").sortWithinPartitions("token", "low", "high")
-    more = linked(surviving(cell_pairs(cells), reps), reps, d)
-    classes = components(near.unionByName(more))
+    told = written(tiles.withColumn("label", F.col("sid")), "labelled")
+    links = None
+    for across in (False, False, True):
+        pairs = cell_pairs(cells(told, reps, across), best=not across)
+        more = linked(pairs.select("a", "b").distinct() if across else nearest(pairs), reps, d)
+        links = more if links is None else links.unionByName(more)
+        if not across:
+            labels = components(links)
+            told = written(tiles.join(labels, tiles.sid == labels.node, "left").select(*tiles.columns, F.coalesce("label", "sid").alias("label")), "labelled")
+    classes = components(links)
     own = have.select("doc_id", "doc", "hash", F.col("n").alias("n_shingles"), "sid").join(classes, F.col("sid") == F.col("node"), "left").withColumn("label", F.coalesce("label", "sid"))
     own = written(own.select("doc_id", "doc", "hash", "n_shingles", "label"), "members")
+    for t in (all_, reps, copies, tiles, told, classes):
+        drop_written(t)
     low = written(own.where("n_shingles > 0").groupBy("label").agg(F.min("doc").alias("low")), "lowest")
     empty = own.where("n_shingles = 0").withColumn("component_id", F.col("doc_id"))
     full = own.where("n_shingles > 0").join(low, "label").withColumn("component_id", F.when(F.col("low") != -(1 << 63), F.col("low")))
@@ -298,10 +389,12 @@ def digests(docs: DataFrame) -> DataFrame:
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, with all their columns, of which each component's
     smallest doc_id stays; of rows with that very id, the one of the smallest
-    text hash, and of equal rows one. Rows without words all stay."""
+    text hash. Rows without words all stay, and so do rows equal in doc_id and
+    text to one that stays."""
     got = grouped(docs)
     best = got.where("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct("doc", "hash")).alias("k")).select("k.doc", "k.hash")
     gone = got.where("n_shingles > 0").select("doc", "hash").distinct().join(best, ["doc", "hash"], "left_anti")
     gone = written(gone.select(F.col("doc").alias("_d"), F.col("hash").alias("_h")), "gone")
-    on = (F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63))) == F.col("_d")) & (F.xxhash64("text") == F.col("_h"))
-    return joined(docs, gone, on, "left_anti")
+    flat, c = numbered(docs)
+    on = (F.coalesce(c("doc_id").cast("bigint"), F.lit(-(1 << 63))) == F.col("_d")) & (F.xxhash64(c("text")) == F.col("_h"))
+    return joined(flat, gone, on, "left_anti").toDF(*docs.columns)

@@ -20,41 +20,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HASHES, joined, per_row, pick, utf8, written
+from .common import BACK, ODD, drop_written, joined, mixed, per_row, pick, powers, slices, utf8, word_hashes, written
 
 SEED = 12
-ODD = 0x9E3779B97F4A7C15
 MANY = 0xD1342543DE82EF95
-MASK = (1 << 64) - 1
-BACK = pow(ODD, -1, 1 << 64)
-
-_powers: dict[int, np.ndarray] = {}
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """base^0 .. base^(n-1) modulo 2^64."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        size = max(1024, 2 * n)
-        have = np.full(size, base, np.uint64)
-        have[0] = 1
-        have = _powers[base] = np.multiply.accumulate(have)
-    return have[:n]
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    """The splitmix64 finalizer, which spreads every bit."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
 
 
 class Hashed:
     """Hashes of all stretches of a sequence of words."""
 
-    def __init__(self, words: list[bytes]):
-        self.h = HASHES.of(words)
-        n = len(words)
+    def __init__(self, text: bytes):
+        self.h = word_hashes(text)
+        n = len(self.h)
         self.sums = np.zeros(n + 1, np.uint64)
         np.cumsum(mixed(self.h) * powers(ODD, n), out=self.sums[1:])
         self.back = powers(BACK, n + 1)
@@ -112,12 +89,11 @@ def runs(docs: DataFrame, w: int) -> DataFrame:
     """The phrases of all texts: anchor, hash of the whole phrase, place."""
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             out: list[list[np.ndarray]] = [[] for _ in RUN_ARROW]
             for doc, key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), utf8(b.column(2)), strict=True):
-                words = text.split()
-                if len(words) >= w:
-                    x = Hashed(words)
+                x = Hashed(text)
+                if len(x.h) >= w:
                     a, z, g = phrases(x, w)
                     whole = x.stretch(a, z + w)
                     for c, v in zip(out, (g.view(np.int64), whole.view(np.int64), np.full(len(a), doc), np.full(len(a), key), a, z), strict=True):
@@ -133,10 +109,10 @@ def windows(docs: DataFrame, w: int) -> DataFrame:
     anchor) of a text, by the anchor's and the window's hash."""
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             out: list[list[np.ndarray]] = [[] for _ in PART_ARROW]
             for doc, key, text, checks in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), utf8(b.column(2)), b.column(3).to_pylist(), strict=True):
-                x = Hashed(text.split())
+                x = Hashed(text)
                 at = np.concatenate([np.arange(c["first"], c["last"] + 1) for c in checks])
                 anchor = np.concatenate([np.full(c["last"] + 1 - c["first"], c["anchor"]) for c in checks])
                 for c, v in zip(out, (anchor, x.stretch(at, at + w).view(np.int64), np.full(len(at), doc), np.full(len(at), key), at), strict=True):
@@ -168,7 +144,8 @@ def factors(docs: DataFrame, w: int) -> DataFrame:
     alone = blocks.where("n = 1")
     partners = blocks.where("n > 1").join(alone.select("anchor").distinct(), "anchor", "left_semi")
     checks = alone.unionByName(partners).select("anchor", "one.*").groupBy("doc", "hash").agg(F.collect_list(F.struct("first", "last", "anchor")).alias("checks"))
-    parts = written(windows(joined(d, written(checks, "checks"), ["doc", "hash"], "inner"), w), "windows")
+    checks = written(checks, "checks")
+    parts = written(windows(joined(d, checks, ["doc", "hash"], "inner"), w), "windows")
     again = written(parts.groupBy("anchor", "window").agg(F.count("*").alias("n")).where("n > 1").select("anchor", "window"), "again")
     single = parts.join(again, ["anchor", "window"]).select("doc", "hash", "first", F.col("first").alias("last"))
     found = copied.unionByName(single).groupBy("doc", "hash").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
@@ -177,7 +154,10 @@ def factors(docs: DataFrame, w: int) -> DataFrame:
     def rows(b):
         return b.column(0), b.column(1), [covered([(s["first"], s["last"] + w) for s in x]) for x in b.column(2).to_pylist()]
 
-    return written(per_row(found, "doc bigint, hash bigint, spans array<bigint>", rows, arrow), "spans")
+    out = written(per_row(found, "doc bigint, hash bigint, spans array<bigint>", rows, arrow), "spans")
+    for t in (twice, met, blocks, checks, parts, again):
+        drop_written(t)
+    return out
 
 
 def covered(spans: list[tuple[int, int]]) -> list[int]:
