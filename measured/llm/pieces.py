@@ -53,7 +53,7 @@ class Pieces:
     ``most`` bounds the encodings that are kept of parts met before.
     """
 
-    def __init__(self, model: str, most: int = 600_000):
+    def __init__(self, model: str, most: int = 200_000):
         sp = sentencepiece.SentencePieceProcessor(model_file=model)
         ids = range(sp.get_piece_size())
         self.names = [sp.id_to_piece(i) for i in ids]
@@ -82,7 +82,7 @@ class Pieces:
         known = self.fits.get((a, b))
         if known is None:
             known = a[-1] + b[0] not in self.inner or merge(a + b, self.score) == [a, b]
-            if len(self.fits) < 2 * self.most:
+            if len(self.fits) < self.most:
                 self.fits[a, b] = known
         return known
 

@@ -47,7 +47,7 @@ class Counter:
     ``most`` bounds the number of words whose counts are kept.
     """
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 250_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -102,7 +102,7 @@ class Counter:
         known = self.fits.get((a, b, last))
         if known is None:
             known = self.merge(a + b, last) == [a, b + self.end if last else b]
-            if len(self.fits) < 2 * self.most:
+            if len(self.fits) < self.most:
                 self.fits[a, b, last] = known
         return known
 
