@@ -68,7 +68,7 @@ def identity(tokens: np.ndarray) -> int:
 
 
 B = [f"b{i}" for i in range(BITS)]
-SET = "doc_id bigint, doc bigint, hash bigint, n bigint, sid bigint, " + ", ".join(f"{b} bigint" for b in B) + ", counts binary"
+SET = "doc_id bigint, doc bigint, hash bigint, row bigint, n bigint, sid bigint, " + ", ".join(f"{b} bigint" for b in B) + ", counts binary"
 SET_ARROW = pa.schema([(f.split()[0], pa.binary() if f.endswith("binary") else pa.int64()) for f in SET.split(", ")])
 
 
@@ -80,9 +80,9 @@ def sets(docs: DataFrame) -> DataFrame:
     def run(batches):
         counts = np.zeros(COUNTERS, np.int64)
         for b in slices(batches):
-            ids, doc, key = (c.to_pylist() for c in b.columns[:3])
+            ids, doc, key, row = (c.to_pylist() for c in b.columns[:4])
             n, sid, maps, all_ = [], [], np.zeros((b.num_rows, BITS), np.int64), []
-            for i, text in enumerate(utf8(b.column(3))):
+            for i, text in enumerate(utf8(b.column(4))):
                 t = shingles(text)
                 n.append(len(t))
                 sid.append(identity(t))
@@ -90,14 +90,14 @@ def sets(docs: DataFrame) -> DataFrame:
                 all_.append(t)
             if all_:
                 counts += np.bincount(slot(np.concatenate(all_)), minlength=COUNTERS)
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in (ids, doc, key, n, sid, *maps.T)), pa.nulls(len(n), pa.binary())], schema=SET_ARROW)
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in (ids, doc, key, row, n, sid, *maps.T)), pa.nulls(len(n), pa.binary())], schema=SET_ARROW)
         parts = counts.reshape(-1, BLOCK)
         used = np.flatnonzero(parts.any(1))
         none = pa.nulls(len(used), pa.int64())
         number = TaskContext.get().partitionId() % 64
-        yield pa.RecordBatch.from_arrays([none, pa.array(np.full(len(used), number)), none, pa.array(np.full(len(used), -1)), pa.array(used), *[none] * BITS, pa.array([parts[i].tobytes() for i in used], pa.binary())], schema=SET_ARROW)
+        yield pa.RecordBatch.from_arrays([none, pa.array(np.full(len(used), number)), none, none, pa.array(np.full(len(used), -1)), pa.array(used), *[none] * BITS, pa.array([parts[i].tobytes() for i in used], pa.binary())], schema=SET_ARROW)
 
-    return docs.select("doc_id", "doc", "hash", "text").mapInArrow(run, SET)
+    return docs.select("doc_id", "doc", "hash", "row", "text").mapInArrow(run, SET)
 
 
 def sketch(all_sets: DataFrame) -> np.ndarray:
@@ -340,8 +340,11 @@ def nearest(pairs: DataFrame) -> DataFrame:
     return top.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def grouped(docs: DataFrame) -> DataFrame:
-    """doc_id, doc, hash, n_shingles and component_id of each row of ``docs``.
+def grouped(docs: DataFrame, rows: bool = False) -> DataFrame:
+    """doc_id, doc, hash, row, n_shingles, component_id and label of each row of
+    ``docs``. label is the component's own name, which no other component has,
+    whatever the ids; it is null for rows without words. row is the column
+    ``row`` of docs if rows is true, else 0.
 
     Two texts link when their sets of shingles of five words (of all words, if
     fewer) have a Jaccard similarity of 3/4 or more; words are lower-cased in
@@ -353,7 +356,7 @@ def grouped(docs: DataFrame) -> DataFrame:
     table. Sets and shingles are told apart by 64-bit hashes.
     """
     reach(docs.sparkSession)
-    d = keyed(docs)
+    d = keyed(docs, ("row", "bigint")) if rows else keyed(docs).withColumn("row", F.lit(0).cast("bigint"))
     all_ = written(sets(d), "sets")
     have = all_.where("n >= 0")
     reps = written(have.where("n > 0").groupBy("sid").agg(F.min(F.struct("doc", "hash", "n", *B)).alias("r")).select("sid", "r.*"), "classes")
@@ -371,14 +374,14 @@ def grouped(docs: DataFrame) -> DataFrame:
             labels = components(links)
             told = written(tiles.join(labels, tiles.sid == labels.node, "left").select(*tiles.columns, F.coalesce("label", "sid").alias("label")), "labelled")
     classes = components(links)
-    own = have.select("doc_id", "doc", "hash", F.col("n").alias("n_shingles"), "sid").join(classes, F.col("sid") == F.col("node"), "left").withColumn("label", F.coalesce("label", "sid"))
-    own = written(own.select("doc_id", "doc", "hash", "n_shingles", "label"), "members")
+    own = have.select("doc_id", "doc", "hash", "row", F.col("n").alias("n_shingles"), "sid").join(classes, F.col("sid") == F.col("node"), "left").withColumn("label", F.coalesce("label", "sid"))
+    own = written(own.select("doc_id", "doc", "hash", "row", "n_shingles", "label"), "members")
     for t in (all_, reps, copies, tiles, told, classes):
         drop_written(t)
     low = written(own.where("n_shingles > 0").groupBy("label").agg(F.min("doc").alias("low")), "lowest")
-    empty = own.where("n_shingles = 0").withColumn("component_id", F.col("doc_id"))
+    empty = own.where("n_shingles = 0").withColumn("component_id", F.col("doc_id")).withColumn("label", F.lit(None).cast("bigint"))
     full = own.where("n_shingles > 0").join(low, "label").withColumn("component_id", F.when(F.col("low") != -(1 << 63), F.col("low")))
-    names = ["doc_id", "doc", "hash", "n_shingles", "component_id"]
+    names = ["doc_id", "doc", "hash", "row", "n_shingles", "component_id", "label"]
     return full.select(*names).unionByName(empty.select(*names))
 
 
@@ -387,14 +390,15 @@ def digests(docs: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, with all their columns, of which each component's
-    smallest doc_id stays; of rows with that very id, the one of the smallest
-    text hash. Rows without words all stay, and so do rows equal in doc_id and
-    text to one that stays."""
-    got = grouped(docs)
-    best = got.where("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct("doc", "hash")).alias("k")).select("k.doc", "k.hash")
-    gone = got.where("n_shingles > 0").select("doc", "hash").distinct().join(best, ["doc", "hash"], "left_anti")
-    gone = written(gone.select(F.col("doc").alias("_d"), F.col("hash").alias("_h")), "gone")
+    """The rows of ``docs``, with all their columns, of which each component
+    keeps one: that of the smallest doc_id, then of the smallest text hash, then
+    any one. A null doc_id counts as the smallest. Rows without words all stay.
+
+    Rows are numbered in a written table, so a number stays with its row.
+    """
     flat, c = numbered(docs)
-    on = (F.coalesce(c("doc_id").cast("bigint"), F.lit(-(1 << 63))) == F.col("_d")) & (F.xxhash64(c("text")) == F.col("_h"))
-    return joined(flat, gone, on, "left_anti").toDF(*docs.columns)
+    flat = written(flat.withColumn("row", F.monotonically_increasing_id()), "rows")
+    got = grouped(flat.select(c("doc_id").alias("doc_id"), c("text").alias("text"), "row"), rows=True).where("n_shingles > 0")
+    best = written(got.groupBy("label").agg(F.min(F.struct("doc", "hash", "row")).alias("k")).select("k.row"), "best")
+    gone = written(joined(got.select("row"), best, "row", "left_anti"), "gone")
+    return joined(flat, gone, "row", "left_anti").drop("row").toDF(*docs.columns)

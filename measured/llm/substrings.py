@@ -75,10 +75,11 @@ PART = "anchor bigint, window bigint, doc bigint, hash bigint, first int"
 PART_ARROW = pa.schema([("anchor", pa.int64()), ("window", pa.int64()), ("doc", pa.int64()), ("hash", pa.int64()), ("first", pa.int32())])
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """doc, hash and text: rows with equal keys have equal results."""
-    d = pick(docs, ("doc_id", "bigint"), ("text", "string"))
-    return d.select("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc"), F.xxhash64("text").alias("hash"), "text")
+def keyed(docs: DataFrame, *more: tuple[str, str]) -> DataFrame:
+    """doc, hash and text: rows with equal keys have equal results. more: other
+    columns to pick, as (name, type)."""
+    d = pick(docs, ("doc_id", "bigint"), ("text", "string"), *more)
+    return d.select("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc"), F.xxhash64("text").alias("hash"), "text", *[n for n, _ in more])
 
 
 def gathered(kind: pa.Schema, lists: list[list[np.ndarray]]) -> pa.RecordBatch:

@@ -281,6 +281,15 @@ def test_deduplicated(spark, docs):
     assert {r[0] for r in kept.collect() if cases.words(r[1])} >= groups - {None}
 
 
+def test_deduplicated_keeps_one_row_of_each_component(spark):
+    r = random.Random(11)
+    text = lambda: " ".join(f"w{r.randrange(10**6)}" for _ in range(30))
+    a, b, c, d, e, f, g = (text() for _ in range(7))
+    rows = [(None, a), (None, b), (None, c + " tail"), (4, c), (7, d), (7, e), *[(9, f)] * 40, *[(None, g)] * 40, (8, ""), (8, ""), (None, None)]
+    got = ngram_join.deduplicated(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert cases.bag(got) == collections.Counter([(None, a), (None, b), (None, c + " tail"), (7, d), (7, e), (9, f), (None, g), (8, ""), (8, ""), (None, None)])
+
+
 def test_components(spark):
     r = random.Random(4)
     pairs = [(r.randrange(90), r.randrange(90)) for _ in range(70)] + [(i, i + 1) for i in range(100, 160)]
