@@ -9,6 +9,8 @@ that name the kind; scores order spans for redaction where two overlap.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -114,33 +116,58 @@ def ibans(text: str):
             yield m.start(), end
 
 
+def apart(spans: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the stretches that spans cover, in order."""
+    starts, ends = [], []
+    for a, b in sorted(spans):
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
+
+
 def inside(text: str, spans: list[tuple[int, int]]):
-    """Cards and phones hidden in a longer run of digits that fails as a whole.
+    """Cards and phones hidden in a longer run of digits that fails as a whole,
+    however long it is.
 
     A run is cut at its separators; the first and longest sequence of whole
     groups that passes Luhn with 13 to 19 digits is a card. Of a + run with
     too many digits, the longest beginning of whole groups with 9 to 15 is a
     phone. Spans that hold a base span are left alone.
     """
+
+    def free(a: int, b: int) -> bool:
+        i = bisect_right(ends, a)
+        return i == len(starts) or b <= starts[i]
+
     taken = list(spans)
-    free = lambda a, b: all(b <= x or y <= a for x, y in taken)
+    starts, ends = apart(taken)
     for m in PHONE.finditer(text):
-        if len(m[0]) < 200 and sum(c.isdigit() for c in m[0]) > 15 and free(*m.span()):
-            ends = [g.end() for g in GROUP.finditer(m[0]) if 9 <= sum(c.isdigit() for c in m[0][: g.end()]) <= 15]
-            if ends:
-                taken.append((m.start(), m.start() + ends[-1]))
-                yield "phone_part", m.start(), m.start() + ends[-1]
+        n, end = 0, None
+        for g in GROUP.finditer(text, *m.span()):
+            n += g.end() - g.start()
+            if n > 15:
+                break
+            end = g.end() if n >= 9 else None
+        else:
+            continue
+        if end is not None and free(*m.span()):
+            taken.append((m.start(), end))
+            yield "phone_part", m.start(), end
+    #: Runs and the cards of a run do not overlap, so only these spans count.
+    starts, ends = apart(taken)
     for m in CARD.finditer(text):
-        if len(m[0]) >= 400 or not free(*m.span()) and len(m[0]) <= 19:
+        if len(m[0]) <= 19 and not free(*m.span()):
             continue
-        groups = [(g.start(), g.end()) for g in GROUP.finditer(m[0])]
+        groups = [g.span() for g in GROUP.finditer(text, *m.span())]
+        upto = [0, *accumulate(b - a for a, b in groups)]
         i = 0
         while i < len(groups):
             for k in range(min(len(groups), i + 19), i, -1):
-                a, b = m.start() + groups[i][0], m.start() + groups[k - 1][1]
-                digits = DIGITS.sub("", text[a:b])
-                if 13 <= len(digits) <= 19 and free(a, b) and luhn(digits):
-                    taken.append((a, b))
+                a, b = groups[i][0], groups[k - 1][1]
+                if 13 <= upto[k] - upto[i] <= 19 and free(a, b) and luhn(DIGITS.sub("", text[a:b])):
                     yield "card_part", a, b
                     i = k - 1
                     break

@@ -61,6 +61,17 @@ def test_pii_adds_spans_and_redacts(spark):
     pii.found("1" * 300_000 + "@" + "1." * 100_000 + "+1" * 100_000)
 
 
+def test_pii_in_long_runs():
+    kinds = lambda x: collections.Counter(k for k, *_ in pii.found(x))
+    assert kinds(" ".join(["4041894974608795"] * 30)) == {"card_part": 30}
+    row = " ".join(["7"] * 600)
+    assert ("card_part", 1200, 1216) in pii.found(row + " 4041894974608795 " + row)
+    assert pii.found("+1 956 555 2186 " + "(" * 300 + "123456789")[0] == ("phone_part", 0, 15)
+    x = " ".join(["4041894974608795"] * 30)
+    assert pii.redact(x, pii.found(x)) == " ".join(["[CARD]"] * 30)
+    pii.found(" ".join(["4041894974608795"] * 30_000) + "+" + "1 " * 200_000)
+
+
 def test_token_counts(docs):
     t = tokenizers.Tokenizer.from_file(VOCAB)
     want = collections.Counter((d, len((x or "").encode()), n := len(t.encode(x or "", add_special_tokens=False).ids), n > 20) for d, x, *_ in cases.rows())
