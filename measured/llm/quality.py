@@ -3,7 +3,8 @@
 Each text is measured once. For each language, source and measure a sketch of
 logarithmic buckets counts the values (quantiles to a set relative error;
 sketches merge by adding counts, in any order, with the same result). A value
-far above its group's middle, judged by the sketch, rejects the document.
+far above its group's low quantiles, which junk can't move unless it is more than
+three quarters of the group, rejects the document.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ GO_ON = bytes(range(0x80, 0xC0))
 MARGIN = {"symbol_ratio": 0.05, "punctuation_ratio": 0.15, "capital_ratio": 0.3, "dup_line_ratio": 0.4, "word_length": 6.0}
 #: Relative width of a sketch's buckets.
 GAMMA = 1.02
-#: Quartile distances from the median to the fence.
+#: Low-side distances from the lower quartile to the fence.
 REACH = 6.0
 #: Groups with fewer documents are judged by their language's merged sketch.
 LEAST_ROWS = 100
@@ -109,15 +110,22 @@ def merged(s: DataFrame, *by: str) -> DataFrame:
 
 
 def fences(s: DataFrame, *by: str) -> DataFrame:
-    """For each group and measure of a sketch: n and the fence, the median plus
-    REACH times the distance to the upper quartile plus the measure's margin."""
+    """For each group and measure of a sketch: n and the fence, the lower
+    quartile plus REACH times the low-side distance plus the measure's margin.
+
+    That distance is the smaller of those from the lower quartile up to the
+    median and down to the twentieth. Junk lies above the rest: under half of
+    it leaves both, under three quarters the quartile and the lower one, and
+    odd low values move the lower one only.
+    """
     w = Window.partitionBy(*by, "measure")
     s = s.withColumn("n", F.sum("rows").over(w)).withColumn("upto", F.sum("rows").over(w.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)))
     value = F.when(F.col("bucket") == -(10**6), F.lit(0.0)).otherwise(2 * F.pow(F.lit(GAMMA), F.col("bucket")) / (1 + GAMMA))
     at = lambda q: F.min(F.when(F.col("upto") >= q * F.col("n"), value))
     margin = F.create_map(*[x for m, v in MARGIN.items() for x in (F.lit(m), F.lit(v))])
-    g = s.groupBy(*by, "measure").agg(F.max("n").alias("n"), at(0.5).alias("q50"), at(0.75).alias("q75"))
-    return g.select(*by, "measure", "n", (F.col("q50") + REACH * (F.col("q75") - F.col("q50")) + margin[F.col("measure")]).alias("fence"))
+    g = s.groupBy(*by, "measure").agg(F.max("n").alias("n"), at(0.05).alias("q05"), at(0.25).alias("q25"), at(0.5).alias("q50"))
+    spread = F.least(F.col("q50") - F.col("q25"), F.col("q25") - F.col("q05"))
+    return g.select(*by, "measure", "n", (F.col("q25") + REACH * spread + margin[F.col("measure")]).alias("fence"))
 
 
 def judged(docs: DataFrame) -> DataFrame:

@@ -212,6 +212,20 @@ def test_quality_thresholds(spark):
     assert kept == set(range(300))
 
 
+def styled(i, n_junk, n, source, end="***"):
+    """n rows of a source, of which the first n_junk have words with such ends."""
+    return [(i + k, " ".join(f"v{i + k}x{j}{end if k < n_junk else ''}" for j in range(30)), "en", source, 1) for k in range(n)]
+
+
+def test_quality_of_sources_with_much_junk(spark):
+    rows, junk = [], set()
+    for i, share in enumerate((30, 45, 60)):
+        rows += styled(1000 * i, 2 * share, 200, f"s{share}")
+        junk |= set(range(1000 * i, 1000 * i + 2 * share))
+    got = quality.verdicts(spark.createDataFrame(rows, cases.SCHEMA)).collect()
+    assert not any(r.base_failed for r in got) and {r.doc_id for r in got if not r.kept} == junk
+
+
 def test_sketch_merges_like_counting(spark):
     df = quality.figures(cases.documents(spark)).withColumn("lang", quality.F.coalesce("lang", quality.F.lit("")))
     one = quality.merged(quality.sketches(df, "lang", "source"), "lang")
