@@ -29,7 +29,7 @@ MARGIN = {"symbol_ratio": 0.05, "punctuation_ratio": 0.15, "capital_ratio": 0.3,
 GAMMA = 1.02
 #: Low-side distances from the lower quartile to the fence.
 REACH = 6.0
-#: Groups with fewer documents are judged by their language's merged sketch.
+#: Rows of a group at which its own fence and its language's count alike.
 LEAST_ROWS = 100
 
 
@@ -132,9 +132,11 @@ def judged(docs: DataFrame) -> DataFrame:
     """Figures of each row of ``docs`` with base_failed and kept.
 
     kept is false where the base rules fail, or where a measure lies above the
-    fence of its language and source; groups of fewer than LEAST_ROWS rows use
-    their language's fences, made from the same sketches. Sketches count all
-    rows that pass the base rules; a group with none has no fence.
+    fence of its language and source. That is a mean of the group's own fence,
+    weighted by its rows, and of its language's, made from the same sketches,
+    weighted by LEAST_ROWS; so no number of rows turns a verdict by itself.
+    Sketches count all rows that pass the base rules; a group with none has no
+    fence.
 
     Null texts count as empty and fail; null languages and sources form groups
     of their own. Repeated rows are each judged, alike; extra columns aren't
@@ -149,7 +151,8 @@ def judged(docs: DataFrame) -> DataFrame:
     f = joined(f, groups, ["lang", "source"], "left")
     over = F.lit(False)
     for m in MARGIN:
-        over = over | F.coalesce(F.col(m) > F.when(F.col("g_n") >= LEAST_ROWS, F.col(f"g_{m}")).otherwise(F.col(f"l_{m}")), F.lit(False))
+        fence = (F.col("g_n") * F.col(f"g_{m}") + LEAST_ROWS * F.col(f"l_{m}")) / (F.col("g_n") + LEAST_ROWS)
+        over = over | F.coalesce(F.col(m) > fence, F.lit(False))
     return f.select("doc_id", "text_hash", *[n for n, _ in FIGURES], "base_failed", (~F.col("base_failed") & ~over).alias("kept"))
 
 

@@ -226,6 +226,15 @@ def test_quality_of_sources_with_much_junk(spark):
     assert not any(r.base_failed for r in got) and {r.doc_id for r in got if not r.kept} == junk
 
 
+def test_quality_does_not_turn_at_a_number_of_rows(spark):
+    rows = [x for i in range(4) for x in styled(1000 * i, 0, 300, f"plain{i}")]
+    alike = [(9000, 98, "a"), (10000, 102, "b")]
+    for at, n, source in alike:
+        rows += [(d, t.replace("x", "*", 18), *_) for d, t, *_ in styled(at, 0, n, source)]
+    got = {r.doc_id: r.kept for r in quality.verdicts(spark.createDataFrame(rows, cases.SCHEMA)).collect()}
+    assert all(got[at + k] for at, n, _ in alike for k in range(n))
+
+
 def test_sketch_merges_like_counting(spark):
     df = quality.figures(cases.documents(spark)).withColumn("lang", quality.F.coalesce("lang", quality.F.lit("")))
     one = quality.merged(quality.sketches(df, "lang", "source"), "lang")
