@@ -1,14 +1,18 @@
-"""License notices, found by conditional compression and confirmed by wording.
+"""License notices, found by wording and confirmed by conditional compression.
 
-Blocks are the lines of a text that hold a word of such notices, with the
-lines that go on from them. A block is compressed alone and with each template
-as a raw zstandard dictionary; the templates that save most are compared with
-the block word by word, and the best whose wording differs little is a find.
+Blocks are the lines of a text that hold a word of such notices. In a block, a
+stretch that holds enough of a template's words, in any order, is aligned with it
+word by word; one whose wording differs little is compressed alone and with the
+template as a raw zstandard dictionary, and is a find if that saves anything. Of
+finds that overlap the one with most of its words stays, and all others.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from bisect import bisect_right
+from collections import Counter
 from difflib import SequenceMatcher
 from functools import lru_cache
 
@@ -50,69 +54,117 @@ TEMPLATES = {
 
 CANDIDATE = re.compile(r"licen[sc]|rights reserved|permission|copyright|redistribut|public domain|creative commons|free software", re.I)
 WORDS = re.compile(r"\w+(?:[.-]\w+)*")
-#: Templates compared by wording after ranking; least share of equal words.
-RANKED, LEAST_EQUAL = 3, 0.85
-#: Words of a block that are compared at once; longer blocks are cut, with half as overlap.
-BLOCK_WORDS = 120
+#: Least share of a template's words that a find has.
+LEAST_EQUAL = 0.85
 
 
 def words_of(text: str) -> list[str]:
     return [w.lower() for w in WORDS.findall(text)]
 
 
+class Template:
+    """A notice's words, how often it has each, how many of them a find needs,
+    and a compressor that knows it."""
+
+    def __init__(self, name: str, text: str):
+        self.name, self.words = name, words_of(text)
+        self.count = Counter(self.words)
+        self.need = math.ceil(LEAST_EQUAL * len(self.words))
+        #: Words of a stretch: those of the notice, and half as many that differ, 2 at least.
+        self.most = len(self.words) + max(2, len(self.words) // 2)
+        raw = zstandard.ZstdCompressionDict(" ".join(self.words).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        self.compressor = zstandard.ZstdCompressor(level=3, dict_data=raw, write_content_size=False)
+
+    def starts(self, own: list[str]):
+        """Places of ``own`` from which ``most`` words hold ``need`` of the
+        notice's, each counted as often as the notice has it."""
+        at = [i for i, w in enumerate(own) if w in self.count]
+        have, n, end = Counter(), 0, 0
+        for i in at:
+            while end < len(at) and at[end] < i + self.most:
+                w = own[at[end]]
+                have[w] += 1
+                n += have[w] <= self.count[w]
+                end += 1
+            if n >= self.need:
+                yield i
+            n -= have[own[i]] <= self.count[own[i]]
+            have[own[i]] -= 1
+
+
 @lru_cache(maxsize=1)
-def compressors() -> list[tuple[str, list[str], zstandard.ZstdCompressor]]:
-    made = []
-    for name, texts in TEMPLATES.items():
-        for t in texts:
-            raw = zstandard.ZstdCompressionDict(t.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            made.append((name, words_of(t), zstandard.ZstdCompressor(level=3, dict_data=raw, write_content_size=False)))
-    return made
+def templates() -> list[Template]:
+    return [Template(name, t) for name, texts in TEMPLATES.items() for t in texts]
 
 
 @lru_cache(maxsize=50_000)
+def aligned(number: int, own: tuple[str, ...]) -> tuple | None:
+    """First and last place of the notice's words in ``own``, rank, size saved,
+    number of differences and their wording, or None if too much differs or
+    the notice doesn't help to compress the stretch."""
+    t = templates()[number]
+    m = SequenceMatcher(None, t.words, own, autojunk=False)
+    same = [x for x in m.get_matching_blocks() if x.size]
+    equal = sum(x.size for x in same)
+    if equal < t.need:
+        return None
+    a, b = same[0].b, same[-1].b + same[-1].size
+    #: Words before and after the notice are no difference.
+    ops = [o for o in m.get_opcodes() if o[0] != "equal" and not (o[0] == "insert" and o[1] in (0, len(t.words)))]
+    raw = " ".join(own[a:b]).encode()
+    alone = len(zstandard.ZstdCompressor(level=3, write_content_size=False).compress(raw))
+    saved = alone - len(t.compressor.compress(raw))
+    if saved <= 0:
+        return None
+    text = "; ".join(f"{' '.join(t.words[i:j])}>{' '.join(own[k:l])}" for _, i, j, k, l in ops)
+    return a, b, (2 * equal - len(t.words) - (b - a - equal), saved / len(" ".join(t.words))), saved / alone, len(ops), text
+
+
+def notices(block: str) -> list[tuple[str, str, float, int, int, int]]:
+    """name, words that differ, size saved, number of differences, start and
+    end of all notices in a block that do not overlap, by place."""
+    spans = [m.span() for m in WORDS.finditer(block)]
+    own = [block[a:b].lower() for a, b in spans]
+    known = Counter(own)
+    got = []
+    for number, t in enumerate(templates()):
+        if sum(min(n, known[w]) for w, n in t.count.items()) < t.need:
+            continue
+        for i in t.starts(own):
+            for size in (len(t.words), t.most):
+                if x := aligned(number, tuple(own[i : i + size])):
+                    got.append((x[2], -number, -i, i + x[0], i + x[1], x))
+    starts, ends, out = [], [], []
+    for _, number, _, a, b, x in sorted(got, reverse=True):
+        k = bisect_right(ends, a)
+        if k == len(starts) or b <= starts[k]:
+            starts.insert(k, a)
+            ends.insert(k, b)
+            out.append((templates()[-number].name, x[5], x[3], x[4], spans[a][0], spans[b - 1][1]))
+    return sorted(out, key=lambda x: x[4])
+
+
 def scanned(block: str) -> tuple[str, str, float, int] | None:
     """name, words that differ, size saved and number of differences of the
-    best notice in a block, or None."""
-    raw = block.encode()
-    alone = len(zstandard.ZstdCompressor(level=3, write_content_size=False).compress(raw))
-    saved = sorted(((alone - len(c.compress(raw))) / alone, -i) for i, (_, _, c) in enumerate(compressors()))[::-1]
-    own, best = words_of(block), None
-    for gain, i in saved[:RANKED]:
-        name, words, _ = compressors()[-i]
-        m = SequenceMatcher(None, words, own, autojunk=False)
-        ops = [o for o in m.get_opcodes() if o[0] != "equal"]
-        #: Words of the block before and after the notice are no difference.
-        inner = [o for o in ops if not (o[0] == "insert" and o[1] in (0, len(words)))]
-        equal = sum(s.size for s in m.get_matching_blocks())
-        if gain > 0 and words and equal >= LEAST_EQUAL * len(words) and (best is None or (equal / len(words), gain) > best[0]):
-            text = "; ".join(f"{' '.join(words[a:b])}>{' '.join(own[c:d])}" for _, a, b, c, d in inner)
-            best = ((equal / len(words), gain), (name, text, gain, len(inner)))
-    return best[1] if best else None
+    first notice in a block, or None."""
+    return next((x[:4] for x in notices(block)), None)
 
 
 def blocks(text: str):
-    """Start, end and text of candidate blocks: a line with a candidate word;
-    with more than BLOCK_WORDS words, overlapping stretches of it."""
+    """Start, end and text of candidate blocks: a line with a candidate word."""
     if not CANDIDATE.search(text):
         return
     at = 0
     for line in text.split("\n"):
         if CANDIDATE.search(line):
-            spans = [m.span() for m in WORDS.finditer(line)]
-            if len(spans) <= BLOCK_WORDS:
-                yield at, at + len(line), line
-            else:
-                for i in range(0, len(spans), BLOCK_WORDS // 2):
-                    a, b = spans[i][0], spans[min(i + BLOCK_WORDS, len(spans)) - 1][1]
-                    if CANDIDATE.search(line, a, b):
-                        yield at + a, at + b, line[a:b]
+            yield at, at + len(line), line
         at += len(line) + 1
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id and finds (array of name, start, end, saved, differences, wording)
-    of each row of ``docs``, one for each block with a notice, by place.
+    of each row of ``docs``, one for each notice, by place: from its first word
+    to its last.
 
     Null and empty texts have none. Rows are scanned by themselves, so null or
     repeated ids and repeated rows do no harm; other columns aren't read; an
@@ -124,8 +176,8 @@ def scan(docs: DataFrame) -> DataFrame:
     def rows(b):
         out = []
         for x in b.column(1).to_pylist():
-            got = [(a, z, scanned(t)) for a, z, t in blocks(x or "")]
-            out.append([{"name": s[0], "start": a, "end": z, "saved": s[2], "differences": s[3], "wording": s[1]} for a, z, s in got if s])
+            got = [(a, *s) for a, _, t in blocks(x or "") for s in notices(t)]
+            out.append([{"name": n, "start": a + i, "end": a + j, "saved": c, "differences": d, "wording": w} for a, n, w, c, d, i, j in got])
         return b.column(0), out
 
     return per_row(pick(docs, ("doc_id", "bigint"), ("text", "string")), "doc_id bigint, finds array<struct<name:string,start:bigint,end:bigint,saved:double,differences:bigint,wording:string>>", rows, arrow)

@@ -171,6 +171,21 @@ def test_licenses(docs, spark):
     assert licenses.digests(cases.empty(spark)).count() == 0
 
 
+def found_licenses(spark, *texts):
+    got = licenses.scan(spark.createDataFrame([*enumerate(texts)], "doc_id bigint, text string")).collect()
+    return [[(f.name, texts[r.doc_id][f.start : f.end]) for f in r.finds] for r in sorted(got)]
+
+
+def test_licenses_finds_all_notices_of_a_line(spark):
+    r = random.Random(12)
+    prose = " ".join(r.choice(["the", "work", "of", "software", "copies", "any", "person", "license", "terms", "and", "this"]) for _ in range(300))
+    two = "All rights reserved. Licensed under the Apache License, Version 2.0."
+    got = found_licenses(spark, prose + " All rights reserved.", two, two + " " + prose + " " + two)
+    names = ["All-rights-reserved", "Apache-2.0"]
+    assert [[n for n, _ in x] for x in got] == [names[:1], names, names * 2]
+    assert got[1] == [(names[0], "All rights reserved"), (names[1], "Licensed under the Apache License, Version 2.0")]
+
+
 def test_warc(spark):
     pages = [(1, "http://a.org/x?y#z", "<p>é</p>"), (2, "https://b.org", "<p>é</p>"), (2, None, "<p>é</p>"), (5, "http://a.org/\r\nx", None), (3, "u", ""), (None, "http://c", "WARC/1.1\r\n\r\nContent-Length: 0\r\n\r\n"), (7, "http://d", "x" * 300_000)]
     df = spark.createDataFrame(pages, "page_id bigint, url string, html string").selectExpr("*", "'k' as number", "1 as URL")
