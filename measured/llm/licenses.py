@@ -1,7 +1,7 @@
 """License notices, found by wording and confirmed by conditional compression.
 
-Blocks are the lines of a text that hold a word of such notices. In a block, a
-stretch that holds enough of a template's words, in any order, is aligned with it
+Blocks are the paragraphs of a text that hold a word of such notices, so a notice
+may go on from line to line and begin before that word. In a block, a stretch that holds enough of a template's words, in any order, is aligned with it
 word by word; one whose wording differs little is compressed alone and with the
 template as a raw zstandard dictionary, and is a find if that saves anything. Of
 finds that overlap the one with most of its words stays, and all others.
@@ -52,7 +52,8 @@ TEMPLATES = {
     "All-rights-reserved": ["All rights reserved."],
 }
 
-CANDIDATE = re.compile(r"licen[sc]|rights reserved|permission|copyright|redistribut|public domain|creative commons|free software", re.I)
+CANDIDATE = re.compile(r"licen[sc]|rights\W+reserved|permission|copyright|redistribut|public\W+domain|creative\W+commons|free\W+software", re.I)
+PARAGRAPHS = re.compile(r"\n[^\S\n]*\n")
 WORDS = re.compile(r"\w+(?:[.-]\w+)*")
 #: Least share of a template's words that a find has.
 LEAST_EQUAL = 0.85
@@ -151,14 +152,15 @@ def scanned(block: str) -> tuple[str, str, float, int] | None:
 
 
 def blocks(text: str):
-    """Start, end and text of candidate blocks: a line with a candidate word."""
+    """Start, end and text of candidate blocks: a paragraph, which ends at an
+    empty line, with a candidate word."""
     if not CANDIDATE.search(text):
         return
     at = 0
-    for line in text.split("\n"):
-        if CANDIDATE.search(line):
-            yield at, at + len(line), line
-        at += len(line) + 1
+    for end, after in [*(m.span() for m in PARAGRAPHS.finditer(text)), (len(text), None)]:
+        if CANDIDATE.search(text, at, end):
+            yield at, end, text[at:end]
+        at = after
 
 
 def scan(docs: DataFrame) -> DataFrame:

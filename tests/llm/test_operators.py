@@ -3,6 +3,7 @@
 import collections
 import random
 import re
+import textwrap
 
 import public_tokenizers
 import pytest
@@ -186,6 +187,19 @@ def test_licenses_finds_all_notices_of_a_line(spark):
     assert got[1] == [(names[0], "All rights reserved"), (names[1], "Licensed under the Apache License, Version 2.0")]
 
 
+def test_licenses_finds_wrapped_notices(spark):
+    want, texts = [], []
+    for name, notices in licenses.TEMPLATES.items():
+        for t in notices:
+            for width in (12, 40, 72):
+                for first in ("", "# ", " * "):
+                    lines = textwrap.wrap(t, width, initial_indent=first, subsequent_indent=first, break_long_words=False, break_on_hyphens=False)
+                    texts.append("int x = 1;\n\n" + "\n".join(lines) + "\n\nand other words\n")
+                    want.append((name, "\n".join(lines)[len(first) :].rstrip(".")))
+    got = found_licenses(spark, *texts)
+    assert [x[0] for x in got] == want and all(len(x) == 1 for x in got)
+
+
 def test_warc(spark):
     pages = [(1, "http://a.org/x?y#z", "<p>é</p>"), (2, "https://b.org", "<p>é</p>"), (2, None, "<p>é</p>"), (5, "http://a.org/\r\nx", None), (3, "u", ""), (None, "http://c", "WARC/1.1\r\n\r\nContent-Length: 0\r\n\r\n"), (7, "http://d", "x" * 300_000)]
     df = spark.createDataFrame(pages, "page_id bigint, url string, html string").selectExpr("*", "'k' as number", "1 as URL")
