@@ -399,6 +399,8 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     flat, c = numbered(docs)
     flat = written(flat.withColumn("row", F.monotonically_increasing_id()), "rows")
     got = grouped(flat.select(c("doc_id").alias("doc_id"), c("text").alias("text"), "row"), rows=True).where("n_shingles > 0")
+    #: Written, so that a large component is summed before its rows are dealt by label.
+    got = written(got.select("doc", "hash", "row", "label"), "labels")
     best = written(got.groupBy("label").agg(F.min(F.struct("doc", "hash", "row")).alias("k")).select("k.row"), "best")
     gone = written(joined(got.select("row"), best, "row", "left_anti"), "gone")
     return joined(flat, gone, "row", "left_anti").drop("row").toDF(*docs.columns)
