@@ -2,9 +2,10 @@
 
 Each text is measured once. For each language, source and measure a sketch of
 logarithmic buckets counts the values (quantiles to a set relative error;
-sketches merge by adding counts, in any order, with the same result). A value
-far above its group's low quantiles, which junk can't move unless it is more than
-three quarters of the group, rejects the document.
+sketches merge by adding counts, in any order, with the same result). Every
+number in a threshold is a quantile of such a sketch; a value far above its
+group's low quantiles, which junk can't move unless it is more than three
+quarters of the group, rejects the document.
 """
 
 from __future__ import annotations
@@ -16,19 +17,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import joined, numbered, per_row, pick, utf8, written
+from .common import drop_written, joined, numbered, per_row, pick, utf8, written
 
 SYMBOLS = bytes(b for b in range(256) if b not in b"#*$%&|<>")
 LETTERS = bytes(b for b in range(256) if 48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128)
 SMALL = bytes(b for b in range(256) if not 65 <= b <= 90)
 GO_ON = bytes(range(0x80, 0xC0))
 
-#: Measures, and how far above the group's fence a value may lie at least.
-MARGIN = {"symbol_ratio": 0.05, "punctuation_ratio": 0.15, "capital_ratio": 0.3, "dup_line_ratio": 0.4, "word_length": 6.0}
+#: Measures: what is counted, and of how many.
+MEASURES = {
+    "symbol_ratio": ("n_symbols", "word_chars"),
+    "punctuation_ratio": ("n_punctuation", "word_chars"),
+    "capital_ratio": ("n_capitals", "word_chars"),
+    "dup_line_ratio": ("n_dup_lines", "n_lines"),
+    "word_length": ("word_chars", "n_words"),
+}
+#: Sizes of texts, whose medians say how finely a ratio can be told.
+SIZES = ("word_chars", "n_lines", "n_words")
 #: Relative width of a sketch's buckets.
 GAMMA = 1.02
-#: Low-side distances from the lower quartile to the fence.
-REACH = 6.0
+#: Low-side distances, and counts in a middling text, from the lower quartile to
+#: the fence.
+REACH = 12.0
 #: Rows of a group at which its own fence and its language's count alike.
 LEAST_ROWS = 100
 
@@ -59,37 +69,32 @@ def repeated(words: list[bytes], window: int = 5) -> int:
 
 
 def measured(text: bytes) -> tuple:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and the
-    measures of MARGIN, in its order."""
+    """COUNTS of a text."""
     words = text.split()
-    n = len(words)
-    if not n:
-        return (0, 0, len(text.translate(None, SYMBOLS)), 0, 0, *[0.0] * len(MARGIN))
-    packed = b"".join(words)
-    chars = len(packed.translate(None, GO_ON))
     symbols = len(text.translate(None, SYMBOLS))
+    if not words:
+        return 0, 0, symbols, 0, 0, 0, 0, 0
+    packed = b"".join(words)
     lines = [x for x in text.split(b"\n") if x and not x.isspace()]
-    dup = len(lines) - len(set(lines))
-    other = len(packed.translate(None, LETTERS))
-    capital = len(packed.translate(None, SMALL))
-    return n, chars, symbols, dup, repeated(words), symbols / chars, other / chars, capital / chars, dup / len(lines), chars / n
+    return len(words), len(packed.translate(None, GO_ON)), symbols, len(lines) - len(set(lines)), repeated(words), len(packed.translate(None, LETTERS)), len(packed.translate(None, SMALL)), len(lines)
 
 
-FIGURES = [("n_words", "bigint"), ("word_chars", "bigint"), ("n_symbols", "bigint"), ("n_dup_lines", "bigint"), ("n_repeat_words", "bigint"), *[(m, "double") for m in MARGIN]]
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_punctuation", "n_capitals", "n_lines")
 
 
 def figures(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, source, text_hash and the figures of each row of ``docs``."""
-    kind = {"bigint": pa.int64(), "double": pa.float64(), "string": pa.string()}
-    names = [("doc_id", "bigint"), ("lang", "string"), ("source", "string"), ("text_hash", "bigint"), *FIGURES]
-    arrow = pa.schema([(n, kind[t]) for n, t in names])
+    """doc_id, lang, source, text_hash, COUNTS and MEASURES of each row of
+    ``docs``; a measure of nothing is 0."""
+    names = [("doc_id", "bigint"), ("lang", "string"), ("source", "string"), ("text_hash", "bigint"), *((n, "bigint") for n in COUNTS)]
+    arrow = pa.schema([(n, pa.string() if t == "string" else pa.int64()) for n, t in names])
 
     def rows(b):
         got = [measured(x) for x in utf8(b.column(4))]
-        return [*b.columns[:4], *([x[i] for x in got] for i in range(len(FIGURES)))]
+        return [*b.columns[:4], *([x[i] for x in got] for i in range(len(COUNTS)))]
 
     d = pick(docs, ("doc_id", "bigint"), ("lang", "string"), ("source", "string"), ("text", "string"))
-    return per_row(d.select("doc_id", "lang", "source", F.xxhash64("text").alias("text_hash"), "text"), ", ".join(f"{n} {t}" for n, t in names), rows, arrow)
+    f = per_row(d.select("doc_id", "lang", "source", F.xxhash64("text").alias("text_hash"), "text"), ", ".join(f"{n} {t}" for n, t in names), rows, arrow)
+    return f.select("*", *[F.when(F.col(n) > 0, F.col(c) / F.col(n)).otherwise(F.lit(0.0)).alias(m) for m, (c, n) in MEASURES.items()])
 
 
 def base_failed():
@@ -97,75 +102,103 @@ def base_failed():
 
 
 def sketches(f: DataFrame, *by: str) -> DataFrame:
-    """Counts per bucket of every measure in each group: at most a few hundred
-    rows a group and measure. Counts are summed before and after the shuffle,
-    so a group with a third of all rows is no larger than any other."""
-    long = f.select(*by, F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("v")) for m in MARGIN])).alias("x")).select(*by, "x.*")
-    bucket = F.when(F.col("v") > 1e-6, F.ceil(F.log("v") / math.log(GAMMA))).otherwise(F.lit(-(10**6)).cast("bigint"))
+    """Counts per bucket of every measure and size in each group: at most a few
+    hundred rows a group and measure. Counts are summed before and after the
+    shuffle, so a group with a third of all rows is no larger than any other."""
+    long = f.select(*by, F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("v")) for m in [*MEASURES, *SIZES]])).alias("x")).select(*by, "x.*")
+    bucket = F.when(F.col("v") > 0, F.ceil(F.log("v") / math.log(GAMMA))).otherwise(F.lit(NOTHING).cast("bigint"))
     return long.groupBy(*by, "measure", bucket.alias("bucket")).agg(F.count("*").alias("rows"))
 
 
+#: The bucket of 0.
+NOTHING = -(10**6)
+
+
 def merged(s: DataFrame, *by: str) -> DataFrame:
     return s.groupBy(*by, "measure", "bucket").agg(F.sum("rows").alias("rows"))
 
 
 def fences(s: DataFrame, *by: str) -> DataFrame:
-    """For each group and measure of a sketch: n and the fence, the lower
-    quartile plus REACH times the low-side distance plus the measure's margin.
+    """One row a group of a sketch: n, its middling sizes, and for each measure
+    the fence. It lies REACH low-side distances above the lower quartile, as a
+    proportion, and then as far again as REACH counts make in a middling text,
+    since no ratio of such a text can be told more finely.
 
-    That distance is the smaller of those from the lower quartile up to the
+    The distance is the smaller of those from the lower quartile up to the
     median and down to the twentieth. Junk lies above the rest: under half of
     it leaves both, under three quarters the quartile and the lower one, and
-    odd low values move the lower one only.
+    odd low values move the lower one only. It is a bucket's width at least, as a
+    sketch tells nothing finer. Where most texts have none of what is counted the
+    quartile is 0 and the middling size alone tells.
     """
     w = Window.partitionBy(*by, "measure")
     s = s.withColumn("n", F.sum("rows").over(w)).withColumn("upto", F.sum("rows").over(w.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)))
-    value = F.when(F.col("bucket") == -(10**6), F.lit(0.0)).otherwise(2 * F.pow(F.lit(GAMMA), F.col("bucket")) / (1 + GAMMA))
-    at = lambda q: F.min(F.when(F.col("upto") >= q * F.col("n"), value))
-    margin = F.create_map(*[x for m, v in MARGIN.items() for x in (F.lit(m), F.lit(v))])
-    g = s.groupBy(*by, "measure").agg(F.max("n").alias("n"), at(0.05).alias("q05"), at(0.25).alias("q25"), at(0.5).alias("q50"))
-    spread = F.least(F.col("q50") - F.col("q25"), F.col("q25") - F.col("q05"))
-    return g.select(*by, "measure", "n", (F.col("q25") + REACH * spread + margin[F.col("measure")]).alias("fence"))
+    value = F.when(F.col("bucket") == NOTHING, F.lit(0.0)).otherwise(2 * F.pow(F.lit(GAMMA), F.col("bucket")) / (1 + GAMMA))
+    q = {5: "q05", 25: "q25", 50: "q50"}
+    g = s.groupBy(*by, "measure").agg(F.max("n").alias("n"), *[F.min(F.when(F.col("upto") * 100 >= p * F.col("n"), value)).alias(a) for p, a in q.items()])
+    g = g.groupBy(*by).agg(F.max("n").alias("n"), *[F.max(F.when(F.col("measure") == m, F.col(a))).alias(f"{m}_{a}") for m in MEASURES for a in q.values()], *[F.max(F.when(F.col("measure") == x, F.col("q50"))).alias(f"typical_{x}") for x in SIZES])
+
+    def fence(m: str):
+        low, mid, high = (F.col(f"{m}_{a}") for a in ("q05", "q25", "q50"))
+        spread = F.greatest(F.least(F.log(high / mid), F.when(low > 0, F.log(mid / low))), F.lit(math.log(GAMMA)))
+        return F.when(mid > 0, mid * F.exp(REACH * spread)).otherwise(F.lit(0.0)) + REACH / F.greatest(F.col(f"typical_{MEASURES[m][1]}"), F.lit(1.0))
+
+    return g.select(*by, "n", *[f"typical_{x}" for x in SIZES], *[fence(m).alias(f"fence_{m}") for m in MEASURES])
+
+
+#: What a verdict needs of a group.
+LIMITS = [*(f"fence_{m}" for m in MEASURES), *(f"typical_{x}" for x in SIZES)]
+
+
+def limits(s: DataFrame) -> DataFrame:
+    """LIMITS of each language and source of a sketch: means of the group's own
+    fences and sizes, weighted by its rows, and of its language's, made from the
+    same sketches, weighted by LEAST_ROWS; so no number of rows turns a verdict
+    by itself, and a group of a few rows is judged much like its language."""
+    own, wide = fences(s, "lang", "source"), fences(merged(s, "lang"), "lang")
+    both = own.alias("g").join(wide.alias("l"), "lang")
+    return both.select("lang", "source", *[((F.col("g.n") * F.col(f"g.{x}") + LEAST_ROWS * F.col(f"l.{x}")) / (F.col("g.n") + LEAST_ROWS)).alias(x) for x in LIMITS])
 
 
 def judged(docs: DataFrame) -> DataFrame:
     """Figures of each row of ``docs`` with base_failed and kept.
 
     kept is false where the base rules fail, or where a measure lies above the
-    fence of its language and source. That is a mean of the group's own fence,
-    weighted by its rows, and of its language's, made from the same sketches,
-    weighted by LEAST_ROWS; so no number of rows turns a verdict by itself.
-    Sketches count all rows that pass the base rules; a group with none has no
-    fence.
+    fence of its language and source (limits()), and so does its count above
+    what a middling text would have at the fence: one odd sign in a short text
+    is no sign of junk. Sketches count all rows that pass the base rules; a group
+    with none has no fence.
 
     Null texts count as empty and fail; null languages and sources form groups
     of their own. Repeated rows are each judged, alike; extra columns aren't
     read; an empty table gives an empty table.
     """
-    f = written(figures(docs).withColumn("base_failed", base_failed()).withColumn("lang", F.coalesce("lang", F.lit(""))).withColumn("source", F.coalesce("source", F.lit(""))), "figures")
+    none = F.lit("\0none")
+    f = written(figures(docs).withColumn("base_failed", base_failed()).withColumn("lang", F.coalesce("lang", none)).withColumn("source", F.coalesce("source", none)), "figures")
     s = written(sketches(f.where("not base_failed"), "lang", "source"), "sketches")
-    own = fences(s, "lang", "source")
-    wide = lambda x, by, tag: x.groupBy(*by).agg(F.max("n").alias(f"{tag}_n"), *[F.max(F.when(F.col("measure") == m, F.col("fence"))).alias(f"{tag}_{m}") for m in MARGIN])
-    by_lang = wide(fences(merged(s, "lang"), "lang"), ["lang"], "l")
-    groups = written(wide(own, ["lang", "source"], "g").join(by_lang, "lang"), "fences")
+    groups = written(limits(s), "fences")
+    drop_written(s)
     f = joined(f, groups, ["lang", "source"], "left")
     over = F.lit(False)
-    for m in MARGIN:
-        fence = (F.col("g_n") * F.col(f"g_{m}") + LEAST_ROWS * F.col(f"l_{m}")) / (F.col("g_n") + LEAST_ROWS)
-        over = over | F.coalesce(F.col(m) > fence, F.lit(False))
-    return f.select("doc_id", "text_hash", *[n for n, _ in FIGURES], "base_failed", (~F.col("base_failed") & ~over).alias("kept"))
+    for m, (count, size) in MEASURES.items():
+        fence = F.col(f"fence_{m}")
+        over = over | F.coalesce((F.col(m) > fence) & (F.col(count) > fence * F.col(f"typical_{size}")), F.lit(False))
+    back = [F.when(F.col(c) != none, F.col(c)).alias(c) for c in ("lang", "source")]
+    return f.select("doc_id", "text_hash", *back, *COUNTS, *MEASURES, "base_failed", (~F.col("base_failed") & ~over).alias("kept"))
 
 
 def kept(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, with all their columns, that judged() keeps.
 
-    The rejected rows' keys, fewer than the documents, are joined back: sent
-    to all executors if they are few by count, shuffled otherwise.
+    The rejected rows' keys (id, text, language and source, which alone decide),
+    fewer than the documents, are joined back: sent to all executors if they are
+    small, shuffled otherwise. So nulls, repeated rows and repeated ids are each
+    judged as in judged(); an empty table gives an empty table.
     """
-    out = judged(docs).where("not kept").select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")).distinct()
-    gone = written(out, "rejected")
+    names = {"doc_id": "_d", "text_hash": "_h", "lang": "_l", "source": "_s"}
+    gone = written(judged(docs).where("not kept").select(*[F.col(c).alias(a) for c, a in names.items()]).distinct(), "rejected")
     flat, c = numbered(docs)
-    on = c("doc_id").cast("bigint").eqNullSafe(F.col("_d")) & (F.xxhash64(c("text")) == F.col("_h"))
+    on = c("doc_id").cast("bigint").eqNullSafe(F.col("_d")) & (F.xxhash64(c("text")) == F.col("_h")) & c("lang").eqNullSafe(F.col("_l")) & c("source").eqNullSafe(F.col("_s"))
     return joined(flat, gone, on, "left_anti").toDF(*docs.columns)
 
 
