@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import reach, settings
 
-#: Rows up to which the right side of a join is sent to every executor. It is
-#: compared with a count of that side; larger sides are joined by a shuffle.
-BROADCAST_ROWS = 200_000
+#: Bytes up to which the right side of a join is sent to every executor. They
+#: are summed over that side, a written table; larger sides are shuffled.
+BROADCAST_BYTES = 8 << 20
 
 LOWER_AZ = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
@@ -47,12 +51,15 @@ def numbered(df: DataFrame) -> tuple[DataFrame, Callable[[str], Column]]:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir.
 
-    Where the session names none (tests on one machine) a temporary folder is
-    used and the setting is made.
+    Where the session names none a temporary folder is used and the setting is
+    made, if driver and executors are one process; on a cluster that is refused.
     """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="measured-")
+        atexit.register(shutil.rmtree, found.removeprefix("file://"), ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
@@ -74,34 +81,36 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def drop_written(df: DataFrame) -> None:
-    """Deletes a table made by written() that nothing will read again."""
-    path = df._measured_path
-    jvm = df.sparkSession.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def drop_written(*tables: DataFrame) -> None:
+    """Deletes tables made by written() that nothing will read again."""
+    for df in tables:
+        remove(df.sparkSession, df._measured_path)
 
 
-def joined(left: DataFrame, right: DataFrame, on, how: str, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """left joined with right, a written table: right is broadcast if it has at
-    most ``rows`` rows by count, else both are shuffled."""
-    return left.join(F.broadcast(right) if right.limit(rows + 1).count() <= rows else right, on, how)
+def remove(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-ODD = 0x9E3779B97F4A7C15
-BACK = pow(ODD, -1, 1 << 64)
+def width(c: Column, kind: T.DataType) -> Column:
+    """Bytes of a value, about, and not less than Spark's own rows take."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(c), F.lit(0)) + 16
+    if isinstance(kind, T.ArrayType):
+        each = 16 * len(kind.elementType.fields) + 24 if isinstance(kind.elementType, T.StructType) else 16
+        return F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0)) * each + 24
+    return F.lit(16)
 
-_powers: dict[int, np.ndarray] = {}
 
+def joined(left: DataFrame, right: DataFrame, on, how: str, most: int = BROADCAST_BYTES) -> DataFrame:
+    """left joined with right, a written table: right is broadcast if its values
+    have at most ``most`` bytes, by a sum over all of them, else both are
+    shuffled."""
+    size = right.agg(F.sum(sum((width(F.col(f"`{f.name}`"), f.dataType) for f in right.schema), F.lit(0)).cast("bigint"))).first()[0] or 0
+    return left.join(F.broadcast(right) if size <= most else right.hint("merge"), on, how)
 
-def powers(base: int, n: int) -> np.ndarray:
-    """base^0 .. base^(n-1) modulo 2^64."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        have = np.full(max(1024, 2 * n), base, np.uint64)
-        have[0] = 1
-        have = _powers[base] = np.multiply.accumulate(have)
-    return have[:n]
+
+ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -111,40 +120,44 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-#: A number for each byte, and the same with A-Z as a-z.
-BYTES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(ODD))
-BYTES_LOW = BYTES[np.frombuffer(LOWER_AZ, np.uint8)]
-IN_WORD = np.array([b not in b" \t\n\v\f\r" for b in range(256)])
-#: Bytes of text hashed at once; a longer text is cut between words.
-PART = 1 << 22
+def paired(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of two hashes, in order. Neither is a linear function of it, so no
+    arrangement of words cancels out, as one in a polynomial can."""
+    return mixed(mixed(a) * ODD + b)
 
 
-def word_hashes(text: bytes, lower: bool = False) -> np.ndarray:
-    """64-bit hashes of the words of a text, parted by white space of ASCII.
+class Names(dict):
+    """Place of each word met in ``table``, which holds the halves of its xxh3-128
+    hash. Forgets all words between texts once they take ``most`` bytes."""
 
-    All words of a text are hashed together, as differences of prefix sums.
-    """
-    if len(text) > 2 * PART:
-        parts, at = [], 0
-        while at < len(text):
-            end = at + PART
-            while end < len(text) and IN_WORD[text[end]]:
-                end += 1
-            parts.append(_hashes(text[at:end], lower))
-            at = end
-        return np.concatenate(parts)
-    return _hashes(text, lower)
-
-
-def _hashes(text: bytes, lower: bool) -> np.ndarray:
-    a = np.frombuffer(text, np.uint8)
-    inside = np.zeros(len(a) + 2, np.int8)
-    inside[1:-1] = IN_WORD[a]
-    step = np.diff(inside)
-    start, end = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
-    sums = np.zeros(len(a) + 1, np.uint64)
-    np.cumsum((BYTES_LOW if lower else BYTES)[a] * powers(ODD, len(a)), out=sums[1:])
-    return mixed((sums[end] - sums[start]) * powers(BACK, len(a) + 1)[start] + (end - start).astype(np.uint64))
+    def __init__(self, most: int = 48 << 20):
+        self.table, self.most, self.held = np.empty((1 << 14, 2), np.uint64), most, 0
+
+    def __missing__(self, word: bytes) -> int:
+        i = len(self)
+        if i == len(self.table):
+            self.table = np.concatenate([self.table, np.empty_like(self.table)])
+        self.table[i] = np.frombuffer(xxhash.xxh3_128_digest(word), np.uint64)
+        self.held += len(word) + 160
+        self[word] = i
+        return i
+
+    def hashes(self, words: list[bytes]) -> np.ndarray:
+        """Two hashes of each word, in two rows."""
+        if self.held > self.most:
+            self.clear()
+            self.held = 0
+        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        return self.table[at].T
+
+
+_names = Names()
+
+
+def word_hashes(text: bytes, lower: bool = False) -> np.ndarray:
+    """Two 64-bit hashes, in two rows, of each word of a text, parted by white
+    space of ASCII; of its form with A-Z as a-z if ``lower``."""
+    return _names.hashes((text.translate(LOWER_AZ) if lower else text).split())
 
 
 def utf8(column: pa.Array) -> list[bytes]:

@@ -40,14 +40,14 @@ MATES = 3
 
 def shingles(text: bytes) -> np.ndarray:
     """Hashes of the distinct shingles of a text, sorted."""
-    h = word_hashes(text, lower=True)
+    h = word_hashes(text, lower=True)[0]
     if not len(h):
         return h
     k = min(SHINGLE, len(h))
     n = len(h) - k + 1
     a = np.full(n, k, np.uint64)
     for j in range(k):
-        a = (a ^ h[j : j + n]) * np.uint64(ODD)
+        a = (a ^ h[j : j + n]) * ODD
         a ^= a >> np.uint64(29)
     return np.unique(mixed(a))
 

@@ -1,14 +1,19 @@
 """Removal of long passages that occur more than once, by relative
 Lempel-Ziv parsing against an index of all documents.
 
-Texts are cut into phrases at anchors: the smallest hash of SEED words in each
+Texts are cut into blocks at anchors: the smallest hash of SEED words in each
 window of W words picks a place by the window's words alone, so equal windows
-have equal anchors, and the windows of one anchor form a phrase. Every phrase
-of every document is a reference block, found by its anchor's hash. A phrase
-equal to another block is a factor, copied whole, and neighbouring factors
-join to longer ones; at the ends of factors, where a phrase shares its anchor
-with another block but differs from it, its windows are compared one by one.
-A factor shorter than W words is no duplicate. All other phrases are literals.
+have equal anchors, and the windows of one anchor form a block. The index holds
+each block of every document by its anchor and its wording, with the first and the
+last place where that wording stands; a block whose anchor is shared but whose
+wording isn't is indexed by its windows too, as a copy may begin or end in it.
+
+Each document is then parsed from left to right against the places that the
+index gives: the factor at a window is the longest copy of one place, carried
+on over the borders of blocks as long as the following blocks or windows are
+copies of what follows there. The next factor begins with the first window
+that the last one doesn't hold; windows across a factor's end are looked up
+like any other. A factor has W words or more; all else are literals.
 """
 
 from __future__ import annotations
@@ -20,33 +25,41 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BACK, ODD, drop_written, joined, mixed, per_row, pick, powers, slices, utf8, word_hashes, written
+from .common import drop_written, joined, mixed, paired, per_row, pick, slices, utf8, word_hashes, written
 
 SEED = 12
-MANY = 0xD1342543DE82EF95
 
 
 class Hashed:
-    """Hashes of all stretches of a sequence of words."""
+    """Hashes of all stretches of a sequence of words, from hashes of stretches
+    of 1, 2, 4 .. words: two of those that overlap make any other."""
 
     def __init__(self, text: bytes):
-        self.h = word_hashes(text)
-        n = len(self.h)
-        self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(mixed(self.h) * powers(ODD, n), out=self.sums[1:])
-        self.back = powers(BACK, n + 1)
+        first, self.other = word_hashes(text)
+        self.n = len(first)
+        self.levels = [mixed(first)]
+
+    def level(self, k: int) -> np.ndarray:
+        while len(self.levels) <= k:
+            x, step = self.levels[-1], 1 << (len(self.levels) - 1)
+            self.levels.append(paired(x[: max(0, len(x) - step)], x[step:]))
+        return self.levels[k]
 
     def stretch(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mixed((self.sums[end] - self.sums[start]) * self.back[start] + (end - start).astype(np.uint64))
+        size = end - start
+        out = np.empty(len(size), np.uint64)
+        order = np.frexp(size)[1] - 1
+        for k in np.unique(order):
+            at, x = order == k, self.level(int(k))
+            out[at] = paired(paired(x[start[at]], x[end[at] - (1 << k)]), size[at].astype(np.uint64))
+        return out
 
     def seeds(self) -> np.ndarray:
-        """Another hash of the SEED words from each place on."""
-        n = len(self.h) - SEED + 1
-        a = np.zeros(n, np.uint64)
-        for j in range(SEED):
-            a = (a + self.h[j : j + n]) * np.uint64(MANY)
-            a ^= a >> np.uint64(32)
-        return mixed(a)
+        """A hash of the SEED words from each place on, from other hashes of words."""
+        x, size = mixed(self.other), 1
+        while 2 * size <= SEED:
+            x, size = paired(x[: len(x) - size], x[size:]), 2 * size
+        return paired(x[: self.n - SEED + 1], x[SEED - size :])
 
 
 def phrases(x: Hashed, w: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -94,7 +107,7 @@ def runs(docs: DataFrame, w: int) -> DataFrame:
             out: list[list[np.ndarray]] = [[] for _ in RUN_ARROW]
             for doc, key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), utf8(b.column(2)), strict=True):
                 x = Hashed(text)
-                if len(x.h) >= w:
+                if x.n >= w:
                     a, z, g = phrases(x, w)
                     whole = x.stretch(a, z + w)
                     for c, v in zip(out, (g.view(np.int64), whole.view(np.int64), np.full(len(a), doc), np.full(len(a), key), a, z), strict=True):
@@ -124,40 +137,91 @@ def windows(docs: DataFrame, w: int) -> DataFrame:
     return docs.select("doc", "hash", "text", "checks").mapInArrow(run, PART)
 
 
-def factors(docs: DataFrame, w: int) -> DataFrame:
-    """doc, hash and spans of each document with windows that occur elsewhere;
-    a written table. spans holds starts and ends of the word ranges that such
-    windows cover, in order.
+def matches(docs: DataFrame, w: int) -> DataFrame:
+    """doc, hash, first, last, low and high: stretches of windows of a document
+    that the index finds elsewhere, and the first and last place of each.
 
-    Only phrases whose anchor occurs twice go on. Counts are summed before
+    Only blocks whose anchor occurs twice go on. Counts are summed before
     they are shuffled and joined back by sort-merge joins, whose hot keys
-    Spark splits; no task needs all places of an anchor.
+    Spark splits; no task needs all places of an anchor. What is made of one
+    document's stretches is no larger than the document.
     """
-    d = keyed(docs)
-    all_ = runs(d, w)
+    all_ = runs(docs, w)
+    place = F.struct("doc", "hash", "first")
+    ends = (F.count("*").alias("n"), F.min(place).alias("low"), F.max(place).alias("high"))
     #: Counts are written before they are joined back: Spark splits a hot key
     #: only where the join reads both sides straight from an exchange.
     twice = written(all_.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "anchors")
     met = written(all_.join(twice, "anchor"), "phrases")
-    blocks = written(met.groupBy("anchor", "whole").agg(F.count("*").alias("n"), F.min(F.struct("doc", "hash", "first", "last")).alias("one")), "blocks")
-    copied = met.join(blocks.where("n > 1").select("anchor", "whole"), ["anchor", "whole"]).select("doc", "hash", "first", "last")
-    #: Phrases that differ from every other one, and one of each kind they may share windows with.
+    drop_written(twice)
+    blocks = written(met.groupBy("anchor", "whole").agg(*ends, F.max(F.col("last") - F.col("first")).alias("more")), "blocks")
+    copied = met.join(blocks.where("n > 1").select("anchor", "whole", "low", "high"), ["anchor", "whole"]).select("doc", "hash", "first", "last", "low", "high")
+    #: Blocks that differ from every other one, and one of each kind they may share windows with.
     alone = blocks.where("n = 1")
     partners = blocks.where("n > 1").join(alone.select("anchor").distinct(), "anchor", "left_semi")
-    checks = alone.unionByName(partners).select("anchor", "one.*").groupBy("doc", "hash").agg(F.collect_list(F.struct("first", "last", "anchor")).alias("checks"))
+    one = alone.unionByName(partners).select("anchor", "low.*", "more")
+    checks = one.groupBy("doc", "hash").agg(F.collect_list(F.struct("first", (F.col("first") + F.col("more")).alias("last"), "anchor")).alias("checks"))
     checks = written(checks, "checks")
-    parts = written(windows(joined(d, checks, ["doc", "hash"], "inner"), w), "windows")
-    again = written(parts.groupBy("anchor", "window").agg(F.count("*").alias("n")).where("n > 1").select("anchor", "window"), "again")
-    single = parts.join(again, ["anchor", "window"]).select("doc", "hash", "first", F.col("first").alias("last"))
-    found = copied.unionByName(single).groupBy("doc", "hash").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
-    arrow = pa.schema([("doc", pa.int64()), ("hash", pa.int64()), ("spans", pa.list_(pa.int64()))])
+    parts = written(windows(joined(docs, checks, ["doc", "hash"], "inner"), w), "windows")
+    drop_written(checks)
+    again = written(parts.groupBy("anchor", "window").agg(*ends).where("n > 1").drop("n"), "again")
+    single = parts.join(again, ["anchor", "window"]).select("doc", "hash", "first", F.col("first").alias("last"), "low", "high")
+    out = written(copied.unionByName(single), "matches")
+    drop_written(met, blocks, parts, again)
+    return out
+
+
+def parsed(found: list[dict], own: tuple[int, int], w: int) -> list[tuple[int, int, int, int, int]]:
+    """Factors of one document: start, number of words, and the place copied
+    (doc, hash, first word), by greedy longest copies from left to right.
+
+    At a window the places of its wording are tried, other than itself (where
+    that is all there is, the copy is another row of the same id and text).
+    """
+    stretches: list[tuple[int, int, set]] = []
+    for m in sorted(found, key=lambda m: (m["first"], -m["last"])):
+        if stretches and m["first"] <= stretches[-1][1]:
+            continue
+        places = {(p["doc"], p["hash"], p["first"] - m["first"]) for p in (m["low"], m["high"])}
+        stretches.append((m["first"], m["last"], places - {(*own, 0)} or places))
+    out, k = [], 0
+    while k < len(stretches):
+        start, last, here = stretches[k]
+        k += 1
+        while k < len(stretches) and stretches[k][0] == last + 1 and (after := here & stretches[k][2]):
+            here, last, k = after, stretches[k][1], k + 1
+        doc, key, off = min(here)
+        out.append((start, last + w - start, doc, key, start + off))
+    return out
+
+
+FACTOR = [("start", pa.int64()), ("words", pa.int64()), ("of_doc", pa.int64()), ("of_hash", pa.int64()), ("of_start", pa.int64())]
+FACTORS = "doc bigint, hash bigint, factors array<struct<" + ",".join(f"{n}:bigint" for n, _ in FACTOR) + ">>"
+FACTORS_ARROW = pa.schema([("doc", pa.int64()), ("hash", pa.int64()), ("factors", pa.list_(pa.struct(FACTOR)))])
+
+
+def factors(docs: DataFrame, w: int = 35) -> DataFrame:
+    """doc (doc_id, or the least number for null), hash (of the text) and factors
+    of each document with words that also stand elsewhere; a written table.
+
+    A factor is start and number of words, at least ``w``, and the document and
+    place that hold the same words. Rows of one id and text are one document
+    here. Factors may overlap by less than ``w`` words, where a window across
+    the end of one is a copy of another place.
+    """
+    return _factors(keyed(docs), w)
+
+
+def _factors(d: DataFrame, w: int) -> DataFrame:
+    all_ = matches(d, w)
+    found = all_.groupBy("doc", "hash").agg(F.collect_set(F.struct("first", "last", "low", "high")).alias("found"))
 
     def rows(b):
-        return b.column(0), b.column(1), [covered([(s["first"], s["last"] + w) for s in x]) for x in b.column(2).to_pylist()]
+        made = [parsed(x, (doc, key), w) for doc, key, x in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        return b.column(0), b.column(1), [[dict(zip([n for n, _ in FACTOR], f, strict=True)) for f in x] for x in made]
 
-    out = written(per_row(found, "doc bigint, hash bigint, spans array<bigint>", rows, arrow), "spans")
-    for t in (twice, met, blocks, checks, parts, again):
-        drop_written(t)
+    out = written(per_row(found, FACTORS, rows, FACTORS_ARROW), "factors")
+    drop_written(all_)
     return out
 
 
@@ -189,7 +253,7 @@ def cleaned(docs: DataFrame, w: int = 35) -> DataFrame:
     Rows with one doc_id but different texts are told apart by the text;
     repeated rows are copies of each other. Null ids are allowed, other
     columns aren't read, an empty table gives an empty table. Equality is that
-    of two 64-bit hashes taken together.
+    of a 64-bit hash of all words together with another of the anchor's.
     """
     return _cleaned(docs, w, digest=False)
 
@@ -202,13 +266,15 @@ def digests(docs: DataFrame, w: int = 35) -> DataFrame:
 def _cleaned(docs: DataFrame, w: int, digest: bool) -> DataFrame:
     name = "kept_sha256" if digest else "kept"
     arrow = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), (name, pa.string())])
-    d = joined(keyed(docs), factors(docs, w), ["doc", "hash"], "left").select("doc_id", "text", "spans")
+    d = keyed(docs)
+    spans = _factors(d, w).select("doc", "hash", F.flatten(F.transform("factors", lambda f: F.array(f["start"], f["start"] + f["words"]))).alias("spans"))
+    d = joined(d, spans, ["doc", "hash"], "left").select("doc_id", "text", "spans")
 
     def rows(b):
         n, gone, out = [], [], []
         for x, spans in zip(utf8(b.column(1)), b.column(2).to_pylist(), strict=True):
             words = x.split()
-            left = without(words, spans) if spans else words
+            left = without(words, covered([*zip(spans[::2], spans[1::2], strict=True)])) if spans else words
             n.append(len(words))
             gone.append(len(words) - len(left))
             text = b" ".join(left)
