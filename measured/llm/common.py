@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -78,9 +79,37 @@ def written(df: DataFrame, name: str) -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._measured_path = path
+    if _scopes:
+        _scopes[-1].append(out)
     return out
 
 
+_scopes: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scope() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes what written() made inside the block, at its end or after an
+    error, but for tables given to the function it yields: those a lazy result
+    still reads. They belong to the scope around it, if there is one."""
+    own: list[DataFrame] = []
+    kept: list[DataFrame] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df)
+        return df
+
+    _scopes.append(own)
+    try:
+        yield keep
+    finally:
+        _scopes.pop()
+        stay = {x._measured_path for x in kept}
+        drop_written(*[x for x in own if x._measured_path not in stay])
+        if _scopes:
+            _scopes[-1].extend(kept)
+
+
 def drop_written(*tables: DataFrame) -> None:
     """Deletes tables made by written() that nothing will read again."""
     for df in tables:

@@ -2,17 +2,25 @@
 
 Documents with equal sets are one class. A set's rarest shingles, by a counting
 sketch of fixed size over all documents, are its prefix: two sets as similar
-as asked share a shingle of their prefixes. Sets that share one form a tile.
+as asked share a shingle of their prefixes. How many members a set has, and in
+which place of its order it has that shingle, bound the sizes of the sets it
+can be as similar to. So a set is dealt to the tiles of a shingle and a band of
+sizes: as one to be found to its own band, if a set as large could be similar,
+and as one that searches to the bands of the sets no larger that it could be
+similar to. Sets that sizes or places exclude don't meet.
+
 Tiles are cut into cells of bounded size, in which sets of different components
-are compared: a pair must pass the size band, the place of the shared shingle and
-the bit counts of two hashed bitmaps, which all bound the overlap from above,
-before the sorted arrays are intersected. Two rounds take only each set's nearest
-few by that bound, which joins large groups of copies with few pairs; the last
-takes every pair that is left between different components.
+are compared: a pair must pass size, place and the bit counts of two hashed
+bitmaps, which all bound the overlap from above, before the sorted arrays are
+intersected. Two rounds take only each set's nearest few by that bound, which
+joins large groups of copies with few pairs; the last takes every pair that is
+left between different components.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -20,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ODD, drop_written, joined, mixed, numbered, reach, slices, utf8, word_hashes, written
+from .common import ODD, drop_written, joined, mixed, numbered, reach, scope, slices, utf8, word_hashes, written
 from .components import components
 from .substrings import keyed
 
@@ -32,8 +40,8 @@ SHINGLE = 5
 COUNTERS, BLOCK = 1 << 20, 1 << 12
 #: Words of 64 bits in a bitmap.
 BITS = 16
-#: Sets of a tile that one cell compares with each other.
-CELL = 256
+#: Sets to be found in a cell, and sets that search in a cell of the last round.
+CELL, WIDE = 256, 4096
 #: Pairs a set has at most in a round before the last.
 MATES = 3
 
@@ -62,20 +70,23 @@ def bitmap(tokens: np.ndarray) -> np.ndarray:
     return np.packbits(seen).view(np.int64)
 
 
-def identity(tokens: np.ndarray) -> int:
-    """A set's 64-bit name: the hash of its sorted members."""
-    return xxhash.xxh3_64_intdigest(tokens.tobytes()) - (1 << 63) if len(tokens) else 0
+def identity(tokens: np.ndarray) -> tuple[int, int]:
+    """A set's 128-bit name, in halves: the hash of its sorted members."""
+    if not len(tokens):
+        return 0, 0
+    both = np.frombuffer(xxhash.xxh3_128_digest(tokens.tobytes()), np.int64)
+    return int(both[0]), int(both[1])
 
 
 B = [f"b{i}" for i in range(BITS)]
-SET = "doc_id bigint, doc bigint, hash bigint, row bigint, n bigint, sid bigint, " + ", ".join(f"{b} bigint" for b in B) + ", counts binary"
+SET = "doc_id bigint, doc bigint, hash bigint, row bigint, n bigint, sid bigint, other bigint, " + ", ".join(f"{b} bigint" for b in B) + ", counts binary"
 SET_ARROW = pa.schema([(f.split()[0], pa.binary() if f.endswith("binary") else pa.int64()) for f in SET.split(", ")])
 
 
 def sets(docs: DataFrame) -> DataFrame:
-    """Size, name and bitmap of each text's set; besides, in rows whose n is
-    -1, the task's counts of the sketch, a block of counters to a row: the
-    block in sid, a number from 0 to 63 that spreads tasks in doc."""
+    """Size, name (sid and other) and bitmap of each text's set; besides, in
+    rows whose n is -1, the task's counts of the sketch, a block of counters to a
+    row: the block in sid, a number from 0 to 63 that spreads tasks in doc."""
 
     def run(batches):
         counts = np.zeros(COUNTERS, np.int64)
@@ -90,16 +101,24 @@ def sets(docs: DataFrame) -> DataFrame:
                 all_.append(t)
             if all_:
                 counts += np.bincount(slot(np.concatenate(all_)), minlength=COUNTERS)
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in (ids, doc, key, row, n, sid, *maps.T)), pa.nulls(len(n), pa.binary())], schema=SET_ARROW)
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in (ids, doc, key, row, n, *zip(*sid, strict=True), *maps.T)), pa.nulls(len(n), pa.binary())], schema=SET_ARROW)
         parts = counts.reshape(-1, BLOCK)
         used = np.flatnonzero(parts.any(1))
         none = pa.nulls(len(used), pa.int64())
         number = TaskContext.get().partitionId() % 64
-        yield pa.RecordBatch.from_arrays([none, pa.array(np.full(len(used), number)), none, none, pa.array(np.full(len(used), -1)), pa.array(used), *[none] * BITS, pa.array([parts[i].tobytes() for i in used], pa.binary())], schema=SET_ARROW)
+        yield pa.RecordBatch.from_arrays([none, pa.array(np.full(len(used), number)), none, none, pa.array(np.full(len(used), -1)), pa.array(used), *[none] * (BITS + 1), pa.array([parts[i].tobytes() for i in used], pa.binary())], schema=SET_ARROW)
 
     return docs.select("doc_id", "doc", "hash", "row", "text").mapInArrow(run, SET)
 
 
+def renamed(have: DataFrame, classes: DataFrame) -> dict[tuple[int, int], int]:
+    """New names of sets of which two share the first half of their names. There
+    are next to none: about one for every 2^64 pairs of different sets."""
+    clash = classes.where("least <> most").select("sid")
+    rows = have.join(F.broadcast(clash), "sid", "left_semi").select("sid", "other").distinct().collect()
+    return {tuple(r): xxhash.xxh3_64_intdigest(f"{r[0]} {r[1]}") - (1 << 63) for r in rows}
+
+
 def sketch(all_sets: DataFrame) -> np.ndarray:
     """Sum of all tasks' counts: COUNTERS numbers, however many the rows. Tasks
     are summed in 64 parts first, so no group is large."""
@@ -124,9 +143,9 @@ POST = "token bigint, sid bigint, at bigint, hot boolean"
 POST_ARROW = pa.schema([("token", pa.int64()), ("sid", pa.int64()), ("at", pa.int64()), ("hot", pa.bool_())])
 
 
-def postings(docs: DataFrame, counts: np.ndarray) -> DataFrame:
+def postings(docs: DataFrame, counts: np.ndarray, names: dict[tuple[int, int], int]) -> DataFrame:
     """The prefix of each text's set: its n - ceil(t n) + 1 rarest shingles,
-    each with its place. hot: the counter is so high that the tile could be
+    each with its place. names: sets with another name. hot: the counter is so high that the tile could be
     larger than a task's fair share."""
     sent = docs.sparkSession.sparkContext.broadcast(counts.astype(np.uint32) if counts.max() < 1 << 32 else counts)
     most = int(counts.mean() + 1000 + 10 * counts.mean() ** 0.5)
@@ -143,7 +162,8 @@ def postings(docs: DataFrame, counts: np.ndarray) -> DataFrame:
                 size = n - -(-NUM * n // DEN) + 1
                 many = c[slot(t)]
                 first = np.lexsort((t, many))[:size]
-                for o, v in zip(out, (t[first].view(np.int64), np.full(size, identity(t)), (n << 32) + np.arange(size), many[first] > most), strict=True):
+                name = identity(t)
+                for o, v in zip(out, (t[first].view(np.int64), np.full(size, names.get(name, name[0])), (n << 32) + np.arange(size), many[first] > most), strict=True):
                     o.append(v)
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o), f.type) for o, f in zip(out, POST_ARROW, strict=True)], schema=POST_ARROW)
@@ -245,71 +265,148 @@ def linked(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
     left = written(met(pairs, ones, "n", "map").mapInArrow(prune, "a bigint, b bigint"), "left")
     few = written(left.select("a").distinct(), "few")
     out = written(met(left, few, "members").mapInArrow(compare, "a bigint, b bigint"), "linked")
-    for t in (pairs, ones, need, full, left, few):
-        drop_written(t)
+    drop_written(pairs, ones, need, full, left, few)
     return out
 
 
-CELLS = ["token", "low", "high", "block", "sid", "label", "n", "place"]
+#: What a set does in a tile: it is found, it searches, or both.
+FOUND, SEARCHES = 1, 2
+
 
+def banded(told: DataFrame) -> DataFrame:
+    """Rows of told once for each band of sizes in which they can meet a set no
+    larger, with their role there.
 
-def cells(told: DataFrame, reps: DataFrame, across: bool) -> DataFrame:
-    """Rows of tiles with sets of different labels, cut into cells of about
-    CELL sets, whole cells to a task. Tiles with the same members are one, in
-    which each member has its lowest place. across: every two blocks of a tile
-    also form a cell, so any two members meet once; otherwise each member is
-    in one block, another one in each tile.
+    The members shared are no more than those from the shared shingle's place
+    on, of either set. So n - place bounds the larger size of a pair, and a set
+    is found only by sets of its size or larger if it can be.
     """
+    n, left = F.col("n").cast("bigint"), (F.col("n") - F.col("place")).cast("bigint")
+    low = F.ceil(n * NUM / DEN)
+    high = F.least(n, F.floor(((NUM + DEN) * left - NUM * n) / NUM))
+    band = lambda size: F.floor(F.log(size.cast("double")) / math.log(DEN / NUM)).cast("int")
+    out = told.where(high >= low).withColumn("band", F.explode(F.sequence(band(low), band(high))))
+    found = ((NUM + DEN) * left >= 2 * NUM * n) & (F.col("band") == band(n))
+    return out.withColumn("role", F.when(found, FOUND | SEARCHES).otherwise(SEARCHES))
+
+
+def tiled(told: DataFrame) -> DataFrame:
+    """Rows of the tiles (token, band) in which a set can be found and labels
+    differ, with m, the tile's size. Tiles with the same members are one, in
+    which each member has its lowest place and all its roles."""
+    rows = banded(told)
     who = F.xxhash64("sid"), F.xxhash64("sid", F.lit(1))
-    mixed_ = told.groupBy("token").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.count("*").alias("m"), *[F.bit_xor(x).alias(f"w{i}") for i, x in enumerate(who)]).where("l <> h")
+    g = rows.groupBy("token", "band").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.count("*").alias("m"), F.max("role").alias("role"), *[F.bit_xor(x).alias(f"w{i}") for i, x in enumerate(who)])
     #: Minima and counts are written before they are joined back, so that Spark
     #: can split a hot key of the join.
-    mixed_ = written(mixed_.select("token", "m", "w0", "w1"), "mixed")
-    one = written(mixed_.groupBy("m", "w0", "w1").agg(F.min("token").alias("tile")), "one")
-    named = written(mixed_.join(one, ["m", "w0", "w1"]).select("token", "tile", F.ceil(F.col("m") / CELL).alias("blocks")), "named")
-    rows = told.join(named, "token").groupBy(F.col("tile").alias("token"), "sid").agg(F.min("place").alias("place"), F.first("n").alias("n"), F.first("label").alias("label"), F.first("blocks").alias("blocks"))
-    if across:
-        rows = rows.withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
-        rows = rows.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
-    else:
-        rows = rows.withColumn("block", F.pmod(F.xxhash64("sid", "token"), F.col("blocks"))).withColumn("low", F.col("block")).withColumn("high", F.col("block"))
-    return rows.join(reps.select("sid", *B), "sid").select(*CELLS, *B).repartition("token", "low", "high").sortWithinPartitions("token", "low", "high")
+    g = written(g.where((F.col("l") != F.col("h")) & (F.col("role") > SEARCHES)).select("token", "band", "m", "w0", "w1"), "mixed")
+    one = written(g.groupBy("band", "m", "w0", "w1").agg(F.min("token").alias("tile")), "one")
+    named = written(g.join(one, ["band", "m", "w0", "w1"]).select("token", "band", "tile", "m"), "named")
+    return rows.join(named, ["token", "band"]).groupBy(F.col("tile").alias("token"), "band", "sid").agg(F.min("place").alias("place"), F.bit_or("role").alias("role"), F.first("n").alias("n"), F.first("label").alias("label"), F.first("m").alias("m"))
+
+
+CELLS = ["token", "band", "cell", "sid", "label", "n", "place", "role"]
+
+
+def dealt(rows: DataFrame, reps: DataFrame) -> DataFrame:
+    """Rows of cells with their bitmaps, whole cells to a task, in order."""
+    return rows.join(reps.select("sid", *B), "sid").withColumn("x", F.explode("cells")).select("token", "band", F.col("x.cell").alias("cell"), "sid", "label", "n", "place", F.col("x.role").alias("role"), *B).repartition("token", "band", "cell").sortWithinPartitions("token", "band", "cell")
+
+
+def some_cells(told: DataFrame, reps: DataFrame) -> DataFrame:
+    """Tiles cut into cells of about CELL sets; each set is in one, and with
+    others in each tile."""
+    cell = F.pmod(F.xxhash64("sid", "token"), F.ceil(F.col("m") / CELL))
+    return dealt(tiled(told).withColumn("cells", F.array(F.struct(cell.alias("cell"), F.col("role").alias("role")))), reps)
+
+
+def all_cells(told: DataFrame, reps: DataFrame) -> DataFrame:
+    """Tiles cut into cells so that every pair of a set that is found and one
+    that searches, of different labels, meets in one.
+
+    Most sets of a large tile have one label by now, so the rows are dealt in
+    two: sets to be found of other labels meet all that search, those of the
+    common label only those of other labels. Blocks of CELL sets meet blocks
+    of WIDE, and a row is repeated once for each block it meets: so it is the
+    others' number that repeats the many, not the tile's.
+    """
+    rows = written(tiled(told).drop("m"), "rows")
+    by_label = written(rows.groupBy("token", "band", "label").agg(F.count("*").alias("all"), F.count_if(F.col("role") > SEARCHES).alias("found")), "by_label")
+    tiles = by_label.groupBy("token", "band").agg(F.max_by("label", F.struct("all", "label")).alias("common"), F.sum("all").alias("all"), F.sum("found").alias("found"), F.max(F.struct("all", "label", "found")).alias("most"))
+    blocks = lambda n, size: F.ceil(n / size)
+    other_all, other_found = F.col("all") - F.col("most.all"), F.col("found") - F.col("most.found")
+    tiles = written(tiles.select("token", "band", "common", blocks(other_found, CELL).alias("f0"), blocks(F.col("all"), WIDE).alias("s0"), blocks(F.col("most.found"), CELL).alias("f1"), blocks(other_all, WIDE).alias("s1")), "tiles_of")
+    rows = rows.join(tiles, ["token", "band"])
+    own, found = F.xxhash64("sid", F.lit(7)), F.col("role") > SEARCHES
+    common = F.col("label") == F.col("common")
+
+    def cells(kind: int, who, role: int, mine: str, others: str):
+        """Cells of a row that is in one block of its own side: one for each block of the other side."""
+        place_ = F.pmod(own, F.greatest(F.col(mine), F.lit(1)))
+        at = lambda i: F.lit(kind << 60) + ((place_ * (1 << 30) + i) if role == FOUND else (i * (1 << 30) + place_))
+        made = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col(others) - 1), lambda i: F.struct(at(i).alias("cell"), F.lit(role).alias("role")))
+        return F.when(who & (F.col(mine) > 0) & (F.col(others) > 0), made).otherwise(F.array().cast("array<struct<cell:bigint,role:int>>"))
+
+    everyone = F.lit(True)
+    kinds = [(0, found & ~common, FOUND, "f0", "s0"), (0, everyone, SEARCHES, "s0", "f0"), (1, found & common, FOUND, "f1", "s1"), (1, ~common, SEARCHES, "s1", "f1")]
+    return dealt(rows.withColumn("cells", F.concat(*[cells(*k) for k in kinds])).drop("role"), reps)
+
+
+#: Pairs of a large cell that are compared at once.
+AT_ONCE = 1 << 18
 
 
 def cell_pairs(rows: DataFrame, best: bool) -> DataFrame:
-    """Pairs (a, b) of different labels within each cell that can still be
-    similar by size, place and bitmaps: of a set's members no more are shared
-    than do not lie on bits the other lacks. near is that bound as a share of
-    both sizes. best: only the pair of each row whose bound is highest.
+    """Pairs (a, b) of different labels within each cell, one found and one
+    that searches, that can still be similar by size, place and bitmaps: of a
+    set's members no more are shared than do not lie on bits the other lacks.
+    near is that bound as a share of both sizes. best: only the pair of each row
+    whose bound is highest.
 
-    Cells arrive whole and in order; those of a batch are compared together,
+    Cells arrive whole and in order; small ones of a batch are compared together,
     each row with the next, the one after it, and so on.
     """
 
     def compare(c: dict[str, np.ndarray]) -> pa.RecordBatch:
-        start = np.flatnonzero(np.r_[True, (c["token"][1:] != c["token"][:-1]) | (c["low"][1:] != c["low"][:-1]) | (c["high"][1:] != c["high"][:-1])])
-        last = np.repeat(np.r_[start[1:], len(c["token"])], np.diff(np.r_[start, len(c["token"])]))
+        total = len(c["token"])
+        start = np.flatnonzero(np.r_[True, (c["token"][1:] != c["token"][:-1]) | (c["band"][1:] != c["band"][:-1]) | (c["cell"][1:] != c["cell"][:-1])])
+        size = np.diff(np.r_[start, total])
         maps = np.stack([c[b] for b in B], 1).view(np.uint64)
-        top, mate = np.zeros(len(last)), np.full(len(last), -1)
-        i, d, out = np.arange(len(last)), 1, []
-        while len(i := i[i + d < last[i]]):
-            j = i + d
-            n, m = c["n"][i].astype(np.int64), c["n"][j].astype(np.int64)
-            ok = (c["label"][i] != c["label"][j]) & ((c["low"][i] == c["high"][i]) | (c["block"][i] != c["block"][j]))
-            ok &= DEN * np.minimum(n, m) >= NUM * np.maximum(n, m)
-            ok &= np.minimum(n - c["place"][i], m - c["place"][j]) * (NUM + DEN) >= NUM * (n + m)
-            x, y, n, m = i[ok], j[ok], n[ok], m[ok]
+        top, mate, out = np.zeros(total), np.full(total, -1), []
+        n_of, left = c["n"].astype(np.int64), c["n"].astype(np.int64) - c["place"]
+
+        def meet(x: np.ndarray, y: np.ndarray) -> None:
+            n, m = n_of[x], n_of[y]
+            ok = (c["label"][x] != c["label"][y]) & (DEN * np.minimum(n, m) >= NUM * np.maximum(n, m))
+            ok &= np.minimum(left[x], left[y]) * (NUM + DEN) >= NUM * (n + m)
+            ok &= (c["role"][x] & c["role"][y] == 3) | (c["role"][x] ^ c["role"][y] != 0)
+            x, y, n, m = x[ok], y[ok], n[ok], m[ok]
             lacks = [np.bitwise_count(maps[p] & ~maps[q]).sum(1, dtype=np.int64) for p, q in ((x, y), (y, x))]
-            most = np.minimum(n - lacks[0], m - lacks[1])
-            ok = most * (NUM + DEN) >= NUM * (n + m)
-            x, y, near = x[ok], y[ok], (most / (n + m))[ok]
-            if best:
-                for p, q in ((x, y), (y, x)):
-                    more = near > top[p]
-                    top[p[more]], mate[p[more]] = near[more], q[more]
-            else:
+            shared_ = np.minimum(n - lacks[0], m - lacks[1])
+            ok = shared_ * (NUM + DEN) >= NUM * (n + m)
+            x, y, near = x[ok], y[ok], (shared_ / (n + m))[ok]
+            if not best:
                 out.append(np.stack([c["sid"][x], c["sid"][y]]))
+                return
+            for p, q in ((x, y), (y, x)):
+                order = np.argsort(near, kind="stable")
+                more = order[near[order] > top[p[order]]]
+                top[p[more]], mate[p[more]] = near[more], q[more]
+
+        small = size <= 32
+        last = np.repeat(start + size, size)
+        i, d = np.flatnonzero(np.repeat(small, size)), 1
+        while len(i := i[i + d < last[i]]):
+            meet(i, i + d)
             d += 1
+        for a, k in zip(start[~small], size[~small], strict=True):
+            here = np.arange(a, a + k)
+            found, search = here[c["role"][here] & FOUND > 0], here[c["role"][here] & SEARCHES > 0]
+            if len(search):
+                step = max(1, AT_ONCE // len(search))
+                for f in range(0, len(found), step):
+                    part = found[f : f + step]
+                    meet(np.repeat(part, len(search)), np.tile(search, len(part)))
         if best:
             x = np.flatnonzero(mate >= 0)
             return pa.RecordBatch.from_arrays([pa.array(c["sid"][x]), pa.array(c["sid"][mate[x]]), pa.array(top[x])], names=["a", "b", "near"])
@@ -318,12 +415,14 @@ def cell_pairs(rows: DataFrame, best: bool) -> DataFrame:
 
     def run(batches):
         held: pa.RecordBatch | None = None
+        key = ("token", "band", "cell")
         for b in batches:
             t = pa.Table.from_batches([held, b] if held is not None else [b]).combine_chunks()
             c = {k: t.column(k).to_numpy() for k in [*CELLS, *B]}
-            k = len(t) - 1
-            while k and (c["token"][k - 1], c["low"][k - 1], c["high"][k - 1]) == (c["token"][-1], c["low"][-1], c["high"][-1]):
-                k -= 1
+            same = np.ones(len(t), bool)
+            for x in key:
+                same &= c[x] == c[x][-1]
+            k = len(t) - int(np.argmin(same[::-1])) if not same.all() else 0
             if k:
                 yield compare({x: v[:k] for x, v in c.items()})
             held = t.slice(k).combine_chunks().to_batches()[0]
@@ -353,36 +452,49 @@ def grouped(docs: DataFrame, rows: bool = False) -> DataFrame:
     nothing; so their component is their own doc_id. Rows with equal texts
     link, whatever their ids; a null doc_id counts as the smallest but is
     returned as null. Extra columns aren't read; an empty table gives an empty
-    table. Sets and shingles are told apart by 64-bit hashes.
+    table. Sets are told apart by 128-bit hashes, words and shingles by 64-bit ones.
     """
     reach(docs.sparkSession)
+    with scope() as keep:
+        return _grouped(docs, rows, keep)
+
+
+def _grouped(docs: DataFrame, rows: bool, keep) -> DataFrame:
     d = keyed(docs, ("row", "bigint")) if rows else keyed(docs).withColumn("row", F.lit(0).cast("bigint"))
     all_ = written(sets(d), "sets")
-    have = all_.where("n >= 0")
-    reps = written(have.where("n > 0").groupBy("sid").agg(F.min(F.struct("doc", "hash", "n", *B)).alias("r")).select("sid", "r.*"), "classes")
+    have, other = all_.where("n >= 0"), (F.min("other").alias("least"), F.max("other").alias("most"))
+    first_of = lambda x: written(x.where("n > 0").groupBy("sid").agg(F.min(F.struct("doc", "hash", "n", *B)).alias("r"), *other).select("sid", "r.*", "least", "most"), "classes")
+    reps = first_of(have)
+    names = renamed(have, reps)
+    if names:
+        own = F.broadcast(d.sparkSession.createDataFrame([(*k, v) for k, v in names.items()], "sid bigint, other bigint, new bigint"))
+        have = have.join(own, ["sid", "other"], "left").withColumn("sid", F.coalesce("new", "sid"))
+        reps = first_of(have)
     copies = have.where("n > 0").select("sid", "doc", "hash").join(reps.select("sid", F.col("doc").alias("_d"), F.col("hash").alias("_h")), "sid").where("doc <> _d or hash <> _h").select("doc", "hash").distinct()
     copies = written(copies, "copies")
     first = joined(d, copies, ["doc", "hash"], "left_anti")
-    tiles = written(shared(postings(first, sketch(all_))), "tiles")
+    tiles = written(shared(postings(first, sketch(all_), names)), "tiles")
     told = written(tiles.withColumn("label", F.col("sid")), "labelled")
     links = None
-    for across in (False, False, True):
-        pairs = cell_pairs(cells(told, reps, across), best=not across)
-        more = linked(pairs.select("a", "b").distinct() if across else nearest(pairs), reps, d)
+    for last in (False, False, True):
+        with scope() as on:
+            pairs = cell_pairs(all_cells(told, reps) if last else some_cells(told, reps), best=not last)
+            more = linked(pairs.select("a", "b").distinct() if last else nearest(pairs), reps, d)
+            on(more)
         links = more if links is None else links.unionByName(more)
-        if not across:
+        if not last:
             labels = components(links)
+            drop_written(told)
             told = written(tiles.join(labels, tiles.sid == labels.node, "left").select(*tiles.columns, F.coalesce("label", "sid").alias("label")), "labelled")
+            drop_written(labels)
     classes = components(links)
     own = have.select("doc_id", "doc", "hash", "row", F.col("n").alias("n_shingles"), "sid").join(classes, F.col("sid") == F.col("node"), "left").withColumn("label", F.coalesce("label", "sid"))
-    own = written(own.select("doc_id", "doc", "hash", "row", "n_shingles", "label"), "members")
-    for t in (all_, reps, copies, tiles, told, classes):
-        drop_written(t)
-    low = written(own.where("n_shingles > 0").groupBy("label").agg(F.min("doc").alias("low")), "lowest")
+    own = keep(written(own.select("doc_id", "doc", "hash", "row", "n_shingles", "label"), "members"))
+    low = keep(written(own.where("n_shingles > 0").groupBy("label").agg(F.min("doc").alias("low")), "lowest"))
     empty = own.where("n_shingles = 0").withColumn("component_id", F.col("doc_id")).withColumn("label", F.lit(None).cast("bigint"))
     full = own.where("n_shingles > 0").join(low, "label").withColumn("component_id", F.when(F.col("low") != -(1 << 63), F.col("low")))
-    names = ["doc_id", "doc", "hash", "row", "n_shingles", "component_id", "label"]
-    return full.select(*names).unionByName(empty.select(*names))
+    columns = ["doc_id", "doc", "hash", "row", "n_shingles", "component_id", "label"]
+    return full.select(*columns).unionByName(empty.select(*columns))
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -397,10 +509,11 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     Rows are numbered in a written table, so a number stays with its row.
     """
     flat, c = numbered(docs)
-    flat = written(flat.withColumn("row", F.monotonically_increasing_id()), "rows")
-    got = grouped(flat.select(c("doc_id").alias("doc_id"), c("text").alias("text"), "row"), rows=True).where("n_shingles > 0")
-    #: Written, so that a large component is summed before its rows are dealt by label.
-    got = written(got.select("doc", "hash", "row", "label"), "labels")
-    best = written(got.groupBy("label").agg(F.min(F.struct("doc", "hash", "row")).alias("k")).select("k.row"), "best")
-    gone = written(joined(got.select("row"), best, "row", "left_anti"), "gone")
-    return joined(flat, gone, "row", "left_anti").drop("row").toDF(*docs.columns)
+    with scope() as keep:
+        flat = keep(written(flat.withColumn("row", F.monotonically_increasing_id()), "rows"))
+        got = grouped(flat.select(c("doc_id").alias("doc_id"), c("text").alias("text"), "row"), rows=True).where("n_shingles > 0")
+        #: Written, so that a large component is summed before its rows are dealt by label.
+        got = written(got.select("doc", "hash", "row", "label"), "labels")
+        best = written(got.groupBy("label").agg(F.min(F.struct("doc", "hash", "row")).alias("k")).select("k.row"), "best")
+        gone = keep(written(joined(got.select("row"), best, "row", "left_anti"), "gone"))
+        return joined(flat, gone, "row", "left_anti").drop("row").toDF(*docs.columns)

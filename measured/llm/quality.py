@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop_written, joined, numbered, per_row, pick, utf8, written
+from .common import drop_written, joined, numbered, per_row, pick, scope, utf8, written
 
 SYMBOLS = bytes(b for b in range(256) if b not in b"#*$%&|<>")
 LETTERS = bytes(b for b in range(256) if 48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128)
@@ -196,7 +196,8 @@ def kept(docs: DataFrame) -> DataFrame:
     judged as in judged(); an empty table gives an empty table.
     """
     names = {"doc_id": "_d", "text_hash": "_h", "lang": "_l", "source": "_s"}
-    gone = written(judged(docs).where("not kept").select(*[F.col(c).alias(a) for c, a in names.items()]).distinct(), "rejected")
+    with scope() as keep:
+        gone = keep(written(judged(docs).where("not kept").select(*[F.col(c).alias(a) for c, a in names.items()]).distinct(), "rejected"))
     flat, c = numbered(docs)
     on = c("doc_id").cast("bigint").eqNullSafe(F.col("_d")) & (F.xxhash64(c("text")) == F.col("_h")) & c("lang").eqNullSafe(F.col("_l")) & c("source").eqNullSafe(F.col("_s"))
     return joined(flat, gone, on, "left_anti").toDF(*docs.columns)
