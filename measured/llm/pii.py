@@ -2,14 +2,17 @@
 
 Base kinds are proposed by one pattern each, leftmost and non-overlapping:
 email, ip, card (Luhn) and phone. An IBAN is added where its check digits hold
-(mod 97). Every span gets a score: that of its kind, raised by words nearby
+(mod 97), and a secret where a value that a name such as token announces looks
+random by its entropy. Every span gets a score: that of its kind, raised by words nearby
 that name the kind; scores order spans for redaction where two overlap.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from bisect import bisect_right
+from collections import Counter
 from itertools import accumulate
 
 import pyarrow as pa
@@ -24,6 +27,8 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9]){12,}+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
+#: A value after a sign that assigns it.
+VALUE = re.compile(r"[:=][ \t]{0,3}[\"'`]?([A-Za-z0-9+/_-]{16,})")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
 
 # Lengths of IBANs by country.
@@ -35,15 +40,20 @@ IBAN_LENGTH = {
 }
 
 # Score of a kind alone, and words nearby that raise it.
-SCORE = {"email": 0.9, "ip": 0.5, "card": 0.8, "phone": 0.6, "iban": 0.9, "card_part": 0.5, "phone_part": 0.5}
+SCORE = {"email": 0.9, "ip": 0.5, "card": 0.8, "phone": 0.6, "iban": 0.9, "secret": 0.6, "card_part": 0.5, "phone_part": 0.5}
 CONTEXT = {
     "email": re.compile(r"\b(?:e-?mail|mail|contact|correo|courriel)\b", re.I),
     "ip": re.compile(r"\b(?:ip|host|server|address|adresse|login)\b", re.I),
     "card": re.compile(r"\b(?:card|visa|mastercard|amex|credit|payment|tarjeta|carte|karte)\b", re.I),
     "phone": re.compile(r"\b(?:phone|tel|call|mobile|fax|telefon|teléfono|téléphone)\b", re.I),
+    "secret": re.compile(r"\b(?:key|token|credential|auth|login|secret)\b", re.I),
     "iban": re.compile(r"\b(?:iban|account|bank|konto|compte|cuenta)\b", re.I),
 }
 AROUND, RAISE = 60, 0.25
+# Names that announce a secret, at the end of what stands before the sign.
+ANNOUNCED = re.compile(r"(?:token|secret|passwd|password|pwd|api[ _-]?key|access[ _-]?key|private[ _-]?key|credential|auth)[\"']?[ \t]{0,3}$", re.I)
+#: Bits a character that a secret has at least.
+RANDOM = 2.8
 
 
 def luhn(digits: str) -> bool:
@@ -116,6 +126,20 @@ def ibans(text: str):
             yield m.start(), end
 
 
+def entropy(x: str) -> float:
+    """Bits a character, by how often each occurs."""
+    return -sum(n / len(x) * math.log2(n / len(x)) for n in Counter(x).values())
+
+
+def secrets(text: str):
+    """Values of 16 characters or more, with digits and letters, that a name
+    announces and whose characters are spread as at random."""
+    for m in VALUE.finditer(text):
+        x = m[1]
+        if ANNOUNCED.search(text, max(0, m.start() - 24), m.start()) and DIGIT.search(x) and not x.isdigit() and entropy(x) >= RANDOM:
+            yield m.span(1)
+
+
 def apart(spans: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
     """Starts and ends of the stretches that spans cover, in order."""
     starts, ends = [], []
@@ -176,7 +200,7 @@ def inside(text: str, spans: list[tuple[int, int]]):
 
 def found(text: str) -> list[tuple[str, int, int]]:
     """Spans of a text: base kinds as listed, then IBANs, then cards and
-    phones inside longer runs, each by start.
+    phones inside longer runs, then secrets, each by start.
 
     Where a text has neither digit nor @ nothing can match.
     """
@@ -190,6 +214,7 @@ def found(text: str) -> list[tuple[str, int, int]]:
             out += [("phone", *s) for s in phones(text)]
         out += [("iban", *s) for s in ibans(text)]
         out += inside(text, [s[1:] for s in out])
+        out += [("secret", *s) for s in secrets(text)]
     return out
 
 
@@ -240,8 +265,9 @@ def spans(docs: DataFrame) -> DataFrame:
     return per_row(pick(docs, ("doc_id", "bigint"), ("text", "string")), "doc_id bigint, spans array<struct<kind:string,start:bigint,end:bigint,score:double>>", rows, arrow)
 
 
-def digests(docs: DataFrame) -> DataFrame:
-    """The spans of each row as counts, a digest of the base spans and text."""
+def digests(docs: DataFrame, total: bool = False) -> DataFrame:
+    """The spans of each row as counts, a digest of the base spans, text of all
+    spans and, with ``total``, n_found, the number of all."""
     s = spans(docs)
     text = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
     of_kind = lambda *kinds: F.filter("spans", lambda x: x["kind"].isin(*kinds))
@@ -251,6 +277,7 @@ def digests(docs: DataFrame) -> DataFrame:
         *[F.size(of_kind(k)).cast("bigint").alias(f"n_{k}") for k in KINDS],
         F.sha2(text(base), 256).alias("base_sha256"),
         text(F.col("spans")).alias("spans"),
+        *[F.size("spans").cast("bigint").alias("n_found")] * total,
     )
 
 
@@ -258,7 +285,9 @@ def redacted(docs: DataFrame) -> DataFrame:
     """docs with every span of text replaced by its kind in brackets, and
     n_chars set to the new length where there is such a column.
 
-    All other columns pass unchanged, null texts stay null.
+    All other columns pass unchanged, extra and clashing ones too; null texts
+    stay null, empty ones empty. Rows are redacted one by one, so repeated rows
+    and ids do no harm; an empty table gives an empty table.
     """
     flat, c = numbered(docs)
 

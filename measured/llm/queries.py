@@ -14,7 +14,7 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "op1_pii": lambda spark, d: pii.digests(docs(spark, d)),
+    "op1_pii": lambda spark, d: pii.digests(docs(spark, d), total=True),
     "op2_token_counts": lambda spark, d: tokens.counted(docs(spark, d), public_tokenizers.path("word_bpe_49k.json"), fit=True),
     "op3_toxicity": lambda spark, d: toxicity.scored(docs(spark, d), table(spark, d, "labels")),
     "op4_sentencepiece": lambda spark, d: pieces.digests(docs(spark, d), public_tokenizers.path("piece_bpe_32k.model")),
