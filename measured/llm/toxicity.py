@@ -12,18 +12,17 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import per_row, pick, reach
+from .common import joined, per_row, pick, reach, scope, written
 
-#: Labelled rows that a model is learned from, at most, by hash of the text.
+#: Labelled rows that a model is learned from, at most, by hash of doc_id.
 MOST_LABELLED = 20_000
-#: Terms kept, at most: the best by evidence.
-MOST_TERMS = 2_000
 #: Evidence (likelihood ratio statistic) and share of toxic documents needed.
 LEAST_EVIDENCE, LEAST_SHARE = 20.0, 0.9
 BEGINNINGS = (4, 5, 6, 7)
@@ -147,16 +146,15 @@ class Terms:
 SPELLED = re.compile(r"(?<=[a-z])[@$!](?=[a-z])")
 
 
-def contexts(rows: DataFrame, only: frozenset[str] | None = None) -> DataFrame:
+def contexts(rows: DataFrame, only: DataFrame | None = None) -> DataFrame:
     """term and n: in how many different contexts (words before) each word and
-    beginning of words stands in the texts of ``rows``; of ``only`` these terms.
+    beginning of words stands in the texts of ``rows``; of ``only``, a written
+    table, these terms.
 
     Copies of a document repeat its words in one context, so they don't count.
     """
-    sent = rows.sparkSession.sparkContext.broadcast(only)
 
     def run(batches):
-        keep = sent.value
         for b in batches:
             found: set[tuple[str, str]] = set()
             for text in b.column(0).to_pylist():
@@ -165,10 +163,11 @@ def contexts(rows: DataFrame, only: frozenset[str] | None = None) -> DataFrame:
                     found.add((f"w:{w}", before))
                     found.update((f"s:{w[:k]}", before) for k in BEGINNINGS if len(w) > k)
                     before = w
-            pairs = [x for x in found if keep is None or x[0] in keep]
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in pairs], pa.string()) for i in (0, 1)], names=["term", "before"])
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.string()) for i in (0, 1)], names=["term", "before"])
 
-    return rows.select("text").mapInArrow(run, "term string, before string").distinct().groupBy("term").agg(F.count("*").alias("n"))
+    pairs = rows.select("text").mapInArrow(run, "term string, before string")
+    pairs = pairs if only is None else joined(pairs, only.select("term"), "term", "left_semi")
+    return pairs.distinct().groupBy("term").agg(F.count("*").alias("n"))
 
 
 def evidence(a: float, n: float, b: float, m: float) -> float:
@@ -208,11 +207,12 @@ def fitted(x: np.ndarray, y: np.ndarray, rounds: int = 50, decay: float = 0.05)
 
 def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """text and toxic of labelled rows outside the held-out fifth, of which up
-    to MOST_LABELLED, the smallest by hash, are used."""
+    to MOST_LABELLED, the smallest by hash of doc_id, are used. Of documents with
+    one doc_id the least text is learned from, once for each of its labels."""
     d = pick(docs, ("doc_id", "bigint"), ("text", "string"))
     own = pick(labels, ("doc_id", "bigint"), ("toxic", "int")).where("toxic in (0, 1)")
-    rows = own.where(~held_out("doc_id")).withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id", "toxic").limit(MOST_LABELLED)
-    return d.join(F.broadcast(rows.select("doc_id", "toxic")), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), "toxic")
+    rows = own.where(~held_out("doc_id")).distinct().withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id", "toxic").limit(MOST_LABELLED)
+    return d.join(F.broadcast(rows.select("doc_id", "toxic")), "doc_id").groupBy("doc_id", "toxic").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")).select("text", "toxic")
 
 
 def held_out(column: str):
@@ -221,28 +221,33 @@ def held_out(column: str):
 
 def learned(docs: DataFrame, labels: DataFrame) -> Model:
     """A model of the labelled rows. Counts of terms are made by Spark; the
-    driver gets at most MOST_TERMS terms and the features of the sample.
+    driver gets the terms that tell, of a sample of bounded size, and the
+    features of that sample.
 
     Without toxic and other rows nothing is learned and every score is the
     share of toxic rows, or 0.
     """
     reach(docs.sparkSession)
-    rows = sample(docs, labels).persist()
-    try:
+    with scope():
+        rows = written(sample(docs, labels), "labelled")
         n = {r[0]: r[1] for r in rows.groupBy("toxic").count().collect()}
         pos, neg = n.get(1, 0), n.get(0, 0)
         if not pos or not neg:
             return Model(Terms({}, {}), np.zeros(len(FEATURES)), 30.0 if pos else -30.0)
-        toxic = contexts(rows.where("toxic = 1")).where("n >= 4")
-        a = {r["term"]: min(r["n"], pos) for r in toxic.orderBy(F.desc("n"), "term").limit(20 * MOST_TERMS).collect()}
-        b = {r["term"]: min(r["n"], neg) for r in contexts(rows.where("toxic = 0"), frozenset(a)).collect()}
-        found = [(evidence(n, pos, m, neg), t, n, m) for t, n in a.items() if n / pos > 4 * (m := b.get(t, 0)) / neg and n >= LEAST_SHARE * (n + m)]
-        found = sorted((f for f in found if f[0] >= LEAST_EVIDENCE), reverse=True)[:MOST_TERMS]
+        #: A term in k contexts of toxic texts has at most the evidence of one that no other text has.
+        least = next((k for k in range(1, pos + 1) if evidence(k, pos, 0, neg) >= LEAST_EVIDENCE), pos + 1)
+        toxic = written(contexts(rows.where("toxic = 1")).where(F.col("n") >= least), "terms")
+        both = joined(toxic, written(contexts(rows.where("toxic = 0"), toxic).withColumnRenamed("n", "m"), "others"), "term", "left").fillna(0, ["m"])
+        cut = [F.least(F.col(c), F.lit(of)).alias(c) for c, of in (("n", pos), ("m", neg))]
+        tells = (F.col("n") / pos > 4 * F.col("m") / neg) & (F.col("n") >= LEAST_SHARE * (F.col("n") + F.col("m")))
+        found = [(e, *r) for r in both.select("term", *cut).where(tells).collect() if (e := evidence(r["n"], pos, r["m"], neg)) >= LEAST_EVIDENCE]
         weight = {t: math.log(((n + 0.5) / (pos + 1)) / ((m + 0.5) / (neg + 1))) for _, t, n, m in found}
         words = {t[2:]: w for t, w in weight.items() if t[0] == "w"}
         stems = {t[2:]: w for t, w in weight.items() if t[0] == "s" and t[2:] not in words}
         #: A stem stands for others below it only if it tells more than one word.
-        stems = {s: w for s, w in stems.items() if sum(x.startswith(s) for x in words) != 1 and not any(o != s and s.startswith(o) for o in stems)}
+        order = sorted(words)
+        under = lambda x: bisect_left(order, x + chr(0x10FFFF)) - bisect_left(order, x)
+        stems = {x: w for x, w in stems.items() if under(x) != 1 and not any(x[:k] in stems for k in BEGINNINGS if k < len(x))}
         terms = Terms(words, stems)
         sent = docs.sparkSession.sparkContext.broadcast(terms)
         arrow = pa.schema([("toxic", pa.int32()), ("x", pa.list_(pa.float64()))])
@@ -252,8 +257,6 @@ def learned(docs: DataFrame, labels: DataFrame) -> Model:
 
         got = per_row(rows, "toxic int, x array<double>", measure, arrow).toPandas()
         return Model(terms, *fitted(np.array(got["x"].tolist(), float).reshape(-1, len(FEATURES)), got["toxic"].to_numpy(float)))
-    finally:
-        rows.unpersist()
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
