@@ -2,7 +2,8 @@
 
 Blocks are the paragraphs of a text that hold a word of such notices, so a notice
 may go on from line to line and begin before that word. In a block, a stretch that holds enough of a template's words, in any order, is aligned with it
-word by word; one whose wording differs little is compressed alone and with the
+word by word; one whose wording differs little, and not in a licence's name or
+version, is compressed alone and with the
 template as a raw zstandard dictionary, and is a find if that saves anything. Of
 finds that overlap the one with most of its words stays, and all others.
 """
@@ -29,21 +30,42 @@ TEMPLATES = {
         "Released under the MIT License.",
         "Licensed under the MIT License.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software.",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
     ],
     "Apache-2.0": [
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
     ],
     "GPL-3.0": [
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     ],
-    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2."],
+    "GPL-2.0": [
+        "This work is licensed under the GNU General Public License, version 2.",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    ],
+    "LGPL-3.0": [
+        "This work is licensed under the GNU Lesser General Public License, version 3.",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version.",
+    ],
+    "LGPL-2.1": [
+        "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    ],
+    "AGPL-3.0": [
+        "This work is licensed under the GNU Affero General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ],
     "BSD-3-Clause": [
         "Released under the BSD 3-Clause License.",
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
     ],
+    "BSD-2-Clause": ["Released under the BSD 2-Clause License."],
+    "BSD": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met."],
     "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted."],
+    "Zlib": ["Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely."],
+    "Unlicense": ["This is free and unencumbered software released into the public domain."],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
@@ -52,6 +74,16 @@ TEMPLATES = {
     "All-rights-reserved": ["All rights reserved."],
 }
 
+# Words that name a licence. They, and words with a digit, must be
+# those of the notice, no more and no fewer.
+NAMES = frozenset("affero agpl apache artistic attribution attribution-noncommercial attribution-noderivatives attribution-sharealike boost bsd by-nc by-nc-nd by-nc-sa by-nd by-sa cc eclipse epl gnu gpl isc lesser lgpl mit mozilla mpl noncommercial noderivatives sharealike".split())
+
+
+def naming(words) -> bool:
+    """Whether one of some words names a licence or its version."""
+    return any(w in NAMES or any(c.isdigit() for c in w) for w in words)
+
+
 CANDIDATE = re.compile(r"licen[sc]|rights\W+reserved|permission|copyright|redistribut|public\W+domain|creative\W+commons|free\W+software", re.I)
 PARAGRAPHS = re.compile(r"\n[^\S\n]*\n")
 WORDS = re.compile(r"\w+(?:[.-]\w+)*")
@@ -112,6 +144,10 @@ def aligned(number: int, own: tuple[str, ...]) -> tuple | None:
     a, b = same[0].b, same[-1].b + same[-1].size
     #: Words before and after the notice are no difference.
     ops = [o for o in m.get_opcodes() if o[0] != "equal" and not (o[0] == "insert" and o[1] in (0, len(t.words)))]
+    for _, i, j, k, l in ops:
+        k, l = (max(k, l - j) if i == 0 else k), (min(l, k + j - i) if j == len(t.words) else l)
+        if naming(t.words[i:j]) or naming(own[k:l]):
+            return None
     raw = " ".join(own[a:b]).encode()
     alone = len(zstandard.ZstdCompressor(level=3, write_content_size=False).compress(raw))
     saved = alone - len(t.compressor.compress(raw))
