@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, pick, reach, written
+from .common import new_path, pick, reach, remove, scope, written
 
 BREAK = "\r\n\r\n"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -37,9 +37,29 @@ def base32(hexadecimal: Column) -> Column:
 
 
 def record_id(number: Column, kind: int) -> Column:
-    """A version 8 UUID that holds a capture's number and the record's kind."""
-    h = F.lpad(F.lower(F.hex(number)), 16, "0")
-    return F.concat(F.lit("<urn:uuid:"), F.substring(h, 1, 8), F.lit("-"), F.substring(h, 9, 4), F.lit(f"-8{kind:03x}-8"), F.substring(h, 13, 3), F.lit("-"), F.substring(h, 16, 1), F.lit("00000000000>"))
+    """A version 8 UUID that holds a capture's number, 27 hexadecimal digits, and
+    the record's kind."""
+    part = lambda a, n: F.substring(number, a, n)
+    return F.concat(F.lit("<urn:uuid:"), part(1, 8), F.lit("-"), part(9, 4), F.lit("-8"), part(13, 3), F.lit("-8"), part(16, 3), F.lit("-"), part(19, 9), F.lit(f"{kind:03x}>"))
+
+
+def stored(df: DataFrame) -> bool:
+    """Whether df is Parquet files, read, with columns picked or rows filtered
+    and nothing else, so that file and place name a row for good."""
+    node = df._jdf.queryExecution().analyzed()
+    while node.getClass().getSimpleName() in ("Project", "Filter", "SubqueryAlias"):
+        node = node.children().apply(0)
+    return node.getClass().getSimpleName() == "LogicalRelation" and node.relation().getClass().getSimpleName() == "HadoopFsRelation" and "Parquet" in node.relation().fileFormat().getClass().getSimpleName()
+
+
+def numbered(pages: DataFrame) -> DataFrame:
+    """page_id, url, html and number of each row: a hash of its file's path and
+    its place there, alike whenever the row is read again, after the loss of an
+    executor too. Rows that aren't stored yet are written first."""
+    p = pick(pages, ("page_id", "bigint"), ("url", "string"), ("html", "string"))
+    p = p if stored(pages) else written(p, "pages")
+    at = F.concat(F.lpad(F.lower(F.hex(F.xxhash64("_metadata.file_path"))), 16, "0"), F.lpad(F.lower(F.hex("_metadata.row_index")), 11, "0"))
+    return p.select("*", at.alias("number"))
 
 
 def record(kind: Column | str, own: Column, peer: Column, url: Column, content: str, block: Column, *more: Column) -> Column:
@@ -59,10 +79,17 @@ def written_archives(pages: DataFrame) -> str:
 
     The payload is html in UTF-8; null counts as empty. Of rows with equal
     payloads the one with the largest page_id is the response (of equal ids
-    the last, by place in the table), the others revisit it.
+    the last, by place in the table), the others revisit it. Null urls and ids
+    are written as empty, repeated rows each have a capture, extra columns aren't
+    read, and an empty table gives a folder without records.
     """
+    with scope():
+        return _written_archives(pages)
+
+
+def _written_archives(pages: DataFrame) -> str:
     reach(pages.sparkSession)
-    p = pick(pages, ("page_id", "bigint"), ("url", "string"), ("html", "string")).select("*", F.monotonically_increasing_id().alias("number"))
+    p = numbered(pages)
     p = p.withColumn("html", F.coalesce("html", F.lit(""))).withColumn("sha", F.sha1("html"))
     rank = F.struct(F.coalesce("page_id", F.lit(-(1 << 63))).alias("id"), "number")
     roles = p.select("number", "sha", rank.alias("rank"), F.octet_length("html").alias("bytes"))
@@ -117,7 +144,8 @@ def http(block: bytes) -> tuple[dict[str, str], bytes]:
 
 
 def records(spark: SparkSession, path: str) -> DataFrame:
-    """The records of all archives in a folder."""
+    """The records of all archives in a folder, payloads held against their
+    digests; none of an empty folder. A payload is null in a revisit."""
     reach(spark)
 
     def read(batches):
@@ -150,7 +178,9 @@ def captures(found: DataFrame, payloads: bool = True) -> DataFrame:
 
     A capture is named by its response's id; records name it as their peer, so
     one grouping by that name, whose groups have three records, puts a
-    transaction together. Missing records stay null.
+    transaction together. Missing records stay null; a repeated record, or one
+    without any peer, makes no second row of its capture; no records give an
+    empty table.
     """
     answer = F.col("type").isin("response", "revisit")
     names = [f.split()[0] for f in RECORD.split(", ") if payloads or not f.startswith("payload binary")]
@@ -169,10 +199,12 @@ def round_trip(pages: DataFrame) -> DataFrame:
     an empty table.
     """
     spark = pages.sparkSession
-    folder = written_archives(pages)
-    c = written(captures(records(spark, folder), payloads=False), "captures")
-    number = F.regexp_extract("metadata.fields", r"page-id: (-?[0-9]*)", 1)
-    page = F.when(number != "", number.cast("bigint"))
-    own = c.select("capture", page.alias("page_id"), "response.*").select("capture", "page_id", F.col("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), F.col("refers_to").alias("of"))
-    targets = written(own.where("record_type = 'response'").select(F.col("capture").alias("of"), F.col("page_id").alias("refers_to")), "targets")
-    return own.join(targets, "of", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    with scope() as keep:
+        folder = written_archives(pages)
+        c = keep(written(captures(records(spark, folder), payloads=False), "captures"))
+        remove(spark, folder)
+        number = F.regexp_extract("metadata.fields", r"page-id: (-?[0-9]*)", 1)
+        page = F.when(number != "", number.cast("bigint"))
+        own = c.select("capture", page.alias("page_id"), "response.*").select("capture", "page_id", F.col("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), F.col("refers_to").alias("of"))
+        targets = keep(written(own.where("record_type = 'response'").select(F.col("capture").alias("of"), F.col("page_id").alias("refers_to")), "targets"))
+        return own.join(targets, "of", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
