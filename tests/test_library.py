@@ -194,3 +194,33 @@ def test_runner(spark, small):
     flaky = {"q": lambda s, d: s.range(1 + r.randrange(10**9), 2 + 10**9).limit(1)}
     with pytest.raises(runner.Unsteady):
         runner.truth(spark, small, flaky)
+
+
+def test_walks_of_any_depth_and_beyond_the_driver(spark, monkeypatch):
+    from measured.operators import recursion
+
+    chain = spark.createDataFrame([(i, i - 1 if i > 1 else None) for i in range(1, 141)], "id long, parent_id long")
+    odd = spark.createDataFrame([("b", "a"), ("c", "a"), ("d", "b"), (None, "d"), ("x", None)], "`the id` string, `of` string")
+    roots = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3), (None, 4)], "`the id` string, `a b` int")
+    cycle = spark.createDataFrame([(1, 3), (2, 1), (3, 2)], "id long, parent_id long")
+    want = sorted([("a", 1), ("b", 1), ("c", 1), ("d", 1), (None, 1), ("a", 2), ("b", 2), ("c", 2), ("d", 2), (None, 2), ("b", 3), ("d", 3), (None, 3), (None, 4)], key=str)
+    for small in (10**6, 2):
+        monkeypatch.setattr(recursion, "SMALL", small)
+        assert sorted(map(tuple, walk(odd, roots, "the id", "of").collect()), key=str) == want
+        assert {r[0] for r in reached(odd, roots.where("`a b` = 3"), "the id", "of").collect()} == {"b", "d", None}
+        assert walk(cycle, cycle.limit(0).select("id")).count() == 0 == reached(cycle, cycle.limit(0).select("id")).count()
+        with pytest.raises(RecursionError):
+            walk(cycle, cycle.where("id = 1").select("id"))
+        with pytest.raises(RecursionError):
+            walk(chain, chain.where("id = 1").select("id"), levels=9)
+    monkeypatch.undo()
+    assert walk(chain, chain.where("id = 1").select("id")).count() == 140
+    assert spark.conf.get("spark.sql.cteRecursionRowLimit", "1000000") != "-1"
+
+
+def test_closures_that_stand_alone(spark):
+    from measured.operators.recursion import self_contained
+
+    assert self_contained(spark, "WITH RECURSIVE s AS (SELECT 1 AS id UNION ALL SELECT id + 1 FROM s WHERE id < 9) SELECT * FROM s")
+    for x in ("SELECT * FROM not_there", "SELECT rand() AS r", "SELECT 1 AS one WHERE 1 = :p", "SELECT outer_column FROM range(3)"):
+        assert not self_contained(spark, x)
