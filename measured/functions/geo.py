@@ -40,3 +40,46 @@ def within(at: tuple[Column, Column, Column], lat: float, lon: float, metres: fl
     """Nearer than a great-circle distance, compared by squared chords."""
     parts = [(c - F.lit(p)) * (c - F.lit(p)) for c, p in zip(at, point(lat, lon, radius), strict=True)]
     return parts[0] + parts[1] + parts[2] < chord(metres, radius) ** 2
+
+
+def box(low: Column, high: Column) -> Column:
+    """An axis-aligned box from arrays of its low and high sides."""
+    return F.struct(low.alias("low"), high.alias("high"))
+
+
+def _sides(a: Column, b: Column, holds) -> Column:
+    """Whether something holds of each two sides, missing ones counting as 0."""
+    side = lambda c, end, i: F.coalesce(F.get(c[end], i), F.lit(0.0))
+    n = F.greatest(F.size(a["low"]), F.size(b["low"]), F.lit(1))
+    return F.forall(F.sequence(F.lit(0), n - 1), lambda i: holds(side(a, "low", i), side(a, "high", i), side(b, "low", i), side(b, "high", i)))
+
+
+def overlap(a: Column, b: Column) -> Column:
+    """Whether two boxes have a point in common."""
+    return _sides(a, b, lambda l, h, m, k: (l <= k) & (m <= h))
+
+
+def contains(a: Column, b: Column) -> Column:
+    """Whether box a holds all of box b."""
+    return _sides(a, b, lambda l, h, m, k: (l <= m) & (k <= h))
+
+
+def same(a: Column, b: Column) -> Column:
+    return _sides(a, b, lambda l, h, m, k: (l == m) & (k == h))
+
+
+def straight(a: Column, b: Column) -> Column:
+    """Distance of two points given as arrays, missing coordinates being 0."""
+    size = F.greatest(F.size(a), F.size(b), F.lit(1))
+    gap = lambda i: F.coalesce(F.get(a, i), F.lit(0.0)) - F.coalesce(F.get(b, i), F.lit(0.0))
+    return F.sqrt(F.aggregate(F.sequence(F.lit(0), size - 1), F.lit(0.0), lambda total, i: total + gap(i) * gap(i)))
+
+
+def along(chords: Column, radius: float = RADIUS) -> Column:
+    """Great-circle length of a straight one."""
+    return 2 * radius * F.asin(F.least(F.lit(1.0), chords / (2 * radius)))
+
+
+def through(arcs: Column, radius: float = RADIUS) -> Column:
+    """Straight length of a great-circle one."""
+    return 2 * radius * F.sin(F.least(arcs / (2 * radius), F.lit(math.pi / 2)))

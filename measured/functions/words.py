@@ -2,21 +2,40 @@
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import reach
+from . import stems
+
 
 def tokens(text: Column) -> Column:
-    """Lower-case words of a text, in order."""
-    return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
+    """Lower-case words of a text, letters and digits of any script, in order."""
+    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+
+
+def english(text: Column) -> Column:
+    """Stems of the words of a text, in their places; a stop word is empty. Each
+    batch stems a word once."""
+    reach(SparkSession.active())
+
+    @F.pandas_udf("array<string>")
+    def stemmed(rows):
+        return rows.map(lambda ws: None if ws is None else ["" if w in stems.STOP else stems.stem(w) for w in ws])
+
+    return stemmed(tokens(text))
 
 
 @dataclass(frozen=True)
 class Query:
-    """A word, or a combination: 'and', 'or', 'not', 'phrase'."""
+    """A word, or a combination: 'and', 'or', 'not', 'phrase'; 'nothing' finds no
+    row. In a phrase None is any word."""
 
     op: str
     of: tuple
@@ -39,8 +58,29 @@ def phrase(*words: str) -> Query:
     return Query("phrase", tuple(w.lower() for w in words))
 
 
-def parse(text: str) -> Query:
-    """Reads words with &, |, !, <-> and parentheses. Weights and prefixes
+NOTHING = Query("nothing", ())
+
+
+def stemmed(q: Query) -> Query:
+    """A query whose words are stems. Stop words fall away: a query of nothing
+    else finds no row, and in a phrase any word stands for one."""
+    if q.op == "word":
+        return NOTHING if q.of[0] in stems.STOP else Query("word", (stems.stem(q.of[0]),))
+    if q.op == "phrase":
+        own = [None if w in stems.STOP else stems.stem(w) for w in q.of]
+        while own and own[0] is None:
+            own.pop(0)
+        while own and own[-1] is None:
+            own.pop()
+        return Query("phrase" if len(own) > 1 else "word", tuple(own)) if own else NOTHING
+    parts = [x for x in map(stemmed, q.of) if x != NOTHING]
+    if not parts:
+        return NOTHING
+    return Query(q.op, tuple(parts)) if len(parts) == len(q.of) else parts[0]
+
+
+def parse(text: str, stem: bool = False) -> Query:
+    """Reads words, as stems if ``stem``, with &, |, !, <-> and parentheses. Weights and prefixes
     (word:A, word:*) are refused."""
     toks = re.findall(r"<->|[&|!()]|[^\s&|!()<]+", text)
     at = 0
@@ -93,13 +133,18 @@ def parse(text: str) -> Query:
     q = either()
     if peek() is not None:
         raise ValueError(f"can't read {text!r} from {peek()!r}")
-    return q
+    return stemmed(q) if stem else q
 
 
 def matches(words: Column, q: Query) -> Column:
     """Whether an array of words satisfies a query."""
+    if q.op == "nothing":
+        return F.lit(False)
     if q.op == "word":
         return F.array_contains(words, q.of[0])
+    if q.op == "phrase" and None in q.of:
+        here = [(k, w) for k, w in enumerate(q.of) if w is not None]
+        return F.exists(F.sequence(F.lit(0), F.size(words)), lambda i: reduce(and_, [F.coalesce(F.get(words, i + k) == w, F.lit(False)) for k, w in here]))
     if q.op == "phrase":
         joined = F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
         return joined.contains(" " + " ".join(q.of) + " ")
@@ -113,13 +158,10 @@ def share(q: Query, of) -> float:
     """Share of rows a query holds, taking words as independent: AND and
     phrase multiply, OR adds less the product, NOT is the rest. ``of`` gives
     a word's share."""
-    if q.op == "word":
-        return of(q.of[0])
-    if q.op == "phrase":
-        out = 1.0
-        for w in q.of:
-            out *= of(w)
-        return out
+    if q.op == "nothing":
+        return 0.0
+    if q.op in ("word", "phrase"):
+        return math.prod(of(w) for w in q.of if w is not None)
     if q.op == "not":
         return 1.0 - share(q.of[0], of)
     a, b = (share(x, of) for x in q.of)
@@ -147,7 +189,7 @@ def required(pattern: str) -> list[str]:
     out: list[str] = []
     parts = re.split(r"(?<!\\)[%_]", pattern.lower())
     for i, part in enumerate(parts):
-        for m in re.finditer(r"[a-z0-9]+", part):
+        for m in re.finditer(r"[^\W_]+", part):
             left = "  " if m.start() or i == 0 and not pattern.startswith(("%", "_")) else ""
             right = " " if m.end() < len(part) or i == len(parts) - 1 and not pattern.endswith(("%", "_")) else ""
             p = left + m[0] + right

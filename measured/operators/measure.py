@@ -80,11 +80,22 @@ def planning(total: int) -> Iterator[Round]:
 @dataclass(frozen=True)
 class Condition:
     """A conjunct: kind is equal, range, list, null, notnull or other; sql is
-    its text; column the expression that it compares with constants."""
+    its text; column the expression that it compares with constants; op how
+    (=, <, <=, >, >=, in) and against the constants' texts."""
 
     kind: str
     column: str
     sql: str
+    op: str = ""
+    against: tuple[str, ...] = ()
+
+    def values(self, spark: SparkSession) -> list:
+        """The constants, folded: expressions of constants are worked out."""
+        return list(spark.sql("SELECT " + ", ".join(self.against)).first()) if self.against else []
+
+
+OPS = {"EqualTo": "=", "LessThan": "<", "LessThanOrEqual": "<=", "GreaterThan": ">", "GreaterThanOrEqual": ">="}
+MIRROR = str.maketrans("<>", "><")
 
 
 def conditions(spark: SparkSession, text: str) -> list[Condition]:
@@ -110,16 +121,18 @@ def conditions(spark: SparkSession, text: str) -> list[Condition]:
             for c in own:
                 yield from walk(c)
             return
-        kind, column = "other", ""
+        kind, column, op, against = "other", "", "", ()
         if name in ("EqualTo", "LessThan", "LessThanOrEqual", "GreaterThan", "GreaterThanOrEqual") and free(own[0]) != free(own[1]):
             kind, column = ("equal" if name == "EqualTo" else "range"), own[1 if free(own[0]) else 0].sql()
+            op = OPS[name].translate(MIRROR) if free(own[0]) else OPS[name]
+            against = (own[0 if free(own[0]) else 1].sql(),)
         elif name == "In" and not free(own[0]) and all(free(x) for x in own[1:]):
-            kind, column = "list", own[0].sql()
+            kind, column, op, against = "list", own[0].sql(), "in", tuple(x.sql() for x in own[1:])
         elif name == "IsNull":
             kind, column = "null", own[0].sql()
         elif name == "IsNotNull":
             kind, column = "notnull", own[0].sql()
-        yield Condition(kind, column, e.sql())
+        yield Condition(kind, column, e.sql(), op, against)
 
     return list(walk(spark._jsparkSession.sessionState().sqlParser().parseExpression(text)))
 
@@ -130,6 +143,7 @@ class Measure:
     of: int
     exact: bool
     note: str
+    alone: tuple[tuple[str, int], ...] = ()
 
 
 class Watched:
@@ -145,6 +159,10 @@ class Watched:
         """Bytes of the files a scan reads, by the optimizer's statistics."""
         return int(str(self.df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
+    def identity(self) -> tuple:
+        """A table's name and plan: two tables of one name are told apart."""
+        return self.name, self.df.semanticHash()
+
     def covers(self, text: str) -> bool:
         if self.where is None:
             return True
@@ -158,14 +176,14 @@ class Watched:
         round_ = _round.get()
         if round_ is None or not self.covers(text):
             return None
-        key = (self.name, "rows", text)
+        key = (*self.identity(), "rows", text)
         if key not in round_.memo:
             if not round_.budget.draw(f"{self.name}: {text}", self.size):
                 return None
             parts = conditions(self.spark, text)
             got = self.df.agg(F.count("*"), F.count_if(F.expr(text)), *[F.count_if(F.expr(c.sql)) for c in parts]).first()
             alone = ", ".join(f"{c.sql}: {n}" for c, n in zip(parts, got[2:], strict=True))
-            round_.memo[key] = Measure(got[1], got[0], True, f"{self.name} measured at {got[1]} rows of {got[0]} ({alone})")
+            round_.memo[key] = Measure(got[1], got[0], True, f"{self.name} measured at {got[1]} rows of {got[0]} ({alone})", tuple((c.sql, n) for c, n in zip(parts, got[2:], strict=True)))
             log.debug(round_.memo[key].note)
         return round_.memo[key]
 
@@ -173,7 +191,7 @@ class Watched:
         """Null share, distinct values and, if there are at most ``most``, how
         often each occurs. None over budget."""
         round_ = _round.get()
-        key = (self.name, "stats", column)
+        key = (*self.identity(), "stats", column)
         if round_ is None:
             return None
         if key not in round_.memo:
@@ -235,20 +253,33 @@ def cell_table(df: DataFrame, at: list[str], size: float) -> DataFrame:
     return df.where(" and ".join(f"`{c}` is not null" for c in at)).groupBy(*cells).agg(F.count("*").alias("n"))
 
 
-def region_rows(cells: DataFrame, size: float, centre: list[float], radius: float, box: bool = False, most: int = 100_000) -> float | None:
+def region_rows(cells: DataFrame, size: float, centre: list[float], radius: float, box: bool = False, most: int = 100_000, sphere: float | None = None) -> float | None:
     """Rows in a ball (or box of half side radius) by its cells: whole ones
-    count in full, those on the edge by the share of their extent inside. Only
-    cells the region touches are read, ``most`` of them at most, else None."""
-    near = F.lit(True)
-    for i, c in enumerate(centre):
-        near = near & F.col(f"cell{i}").between(math.floor((c - radius) / size), math.floor((c + radius) / size))
-    found = cells.where(near).limit(most + 1).collect()
-    if len(found) > most:
-        return None
-    total = 0.0
+    count in full, those on the edge by the share of their extent inside; of
+    places on a ``sphere`` around the origin, by the share of its surface. Only
+    cells the region touches are read. More than ``most`` of them are added up
+    to cells twice as wide, and so on: coarser, never dropped."""
+    while True:
+        near = F.lit(True)
+        for i, c in enumerate(centre):
+            near = near & F.col(f"cell{i}").between(math.floor((c - radius) / size), math.floor((c + radius) / size))
+        found = cells.where(near).limit(most + 1).collect()
+        if len(found) <= most:
+            break
+        cells = cells.groupBy(*[F.floor(F.col(f"cell{i}") / 2).alias(f"cell{i}") for i in range(len(centre))]).agg(F.sum("n").alias("n"))
+        size *= 2
+    total, ball = 0.0, region.Cube.around(centre, radius)
     for r in found:
         key = region.Cube(tuple(float(x) * size for x in r[:-1]), tuple((float(x) + 1) * size for x in r[:-1]))
-        total += r["n"] * (region.box_share(key, region.Cube.around(centre, radius)) if box else region.ball_share(key, centre, radius))
+        if region.contains(ball, key) and (box or region.farthest(key, centre) < radius):
+            share = 1.0
+        elif not region.overlaps(ball, key) or not box and region.nearest(key, centre) >= radius:
+            share = 0.0
+        elif sphere is not None:
+            share = region.sphere_box(centre, radius, key, sphere, also_ball=False) if box else region.sphere_share(key, centre, radius, sphere)
+        else:
+            share = region.box_share(key, ball) if box else region.ball_share(key, centre, radius)
+        total += r["n"] * share
     return total
 
 

@@ -143,6 +143,12 @@ def walk(nodes: DataFrame, start: DataFrame, node: str = "id", parent: str = "pa
             all_.append(front)
 
 
+def counting(spark: SparkSession, first: int, below: int, step: int) -> DataFrame:
+    """id: first, first + step, .. while less than ``below``: a recursion whose
+    step reads no table is a range, dealt over all tasks."""
+    return spark.range(first, max(below, first + 1), step)
+
+
 @dataclass
 class Closure:
     """rows of the closure (distinct), whole unless a limit stopped it."""

@@ -17,8 +17,8 @@ EXPECTED = declared(question="Text", rows="Int", digest="Text")
 RESULTS = declared(question="Text", target="Text", phase="Text", rep="Int", verdict="Text", rows="Int", digest="Text", ms="Float", error="Text")
 
 # Verdicts from worst to best, and exit statuses.
-LADDER = ["WRONG", "TIMEOUT", "CANCELLED", "ERROR", "NOT RUN", "RIGHT"]
-STATUS = {"RIGHT": 0, "ERROR": 1, "WRONG": 2, "TIMEOUT": 3, "NOT RUN": 4, "CANCELLED": 130}
+LADDER = ["WRONG", "TIMEOUT", "CANCELLED", "ERROR", "NOT RUN", "EXPLAIN FAILED", "RIGHT"]
+STATUS = {"RIGHT": 0, "ERROR": 1, "WRONG": 2, "TIMEOUT": 3, "NOT RUN": 4, "EXPLAIN FAILED": 5, "CANCELLED": 130}
 
 
 class Unsteady(Exception):

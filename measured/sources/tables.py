@@ -4,6 +4,8 @@ at all and read only if their columns are the declared ones."""
 from __future__ import annotations
 
 import uuid
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +24,38 @@ class Tables:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
 
+@dataclass(frozen=True)
+class Parent:
+    """A table made of members that hold the rows of one value of a column
+    each, and rows of its own."""
+
+    own: DataFrame
+    members: dict[object, DataFrame]
+
+    def only(self) -> DataFrame:
+        """The parent's own rows."""
+        return self.own
+
+    def all(self) -> DataFrame:
+        """Its rows and its members'. A member is a filtered read, so a filter
+        on the column leaves out the members that can't match."""
+        return reduce(DataFrame.unionByName, self.members.values(), self.own)
+
+
+def parent(df: DataFrame, column: str, values: list) -> Parent:
+    """A table's rows as members by the values of a column; rows of other
+    values, and of none, are the parent's own."""
+    c = F.col(f"`{column}`")
+    return Parent(df.where(c.isNull() | ~c.isin(*values)), {v: df.where(c == F.lit(v)) for v in values})
+
+
+def sampled(df: DataFrame, key: str, percent: float, seed: int = 0) -> DataFrame:
+    """About so many percent of the rows, chosen by a hash of a key: the same
+    ones at every read, whatever the partitions, unlike TABLESAMPLE."""
+    at = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col(f"`{key}`").cast("string"))), 1, 8), 16, 10).cast("bigint")
+    return df.where(at % 10_000 < int(percent * 100))
+
+
 KINDS = {"Text": T.StringType(), "Int": T.LongType(), "Float": T.DoubleType(), "Bool": T.BooleanType()}
 
 
@@ -44,10 +78,17 @@ def write_typed(df: DataFrame, schema: T.StructType, path: str) -> None:
     beside = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
     df.select(*[F.col(f.name).cast(f.dataType) for f in schema]).write.option("compression", "snappy").parquet(beside)
     fs, old = _files(df.sparkSession, path)
-    if fs.exists(old):
-        fs.delete(old, True)
+    aside = _files(df.sparkSession, f"{beside}.old")[1]
+    had = fs.exists(old)
+    #: What was there is put aside and deleted last, so no failure loses both.
+    if had and not fs.rename(old, aside):
+        raise OSError(f"can't put {path} aside")
     if not fs.rename(_files(df.sparkSession, beside)[1], old):
+        if had:
+            fs.rename(aside, old)
         raise OSError(f"can't rename to {path}")
+    if had:
+        fs.delete(aside, True)
 
 
 def read_typed(spark: SparkSession, schema: T.StructType, path: str) -> DataFrame:
@@ -80,6 +121,16 @@ def export_tsv(df: DataFrame, keys: list[str], path: str) -> None:
 def import_tsv(spark: SparkSession, schema: T.StructType, path: str) -> DataFrame:
     """The inverse of export_tsv()."""
     parts = F.split(F.col("value"), "\t", -1)
-    plain = lambda c: F.replace(F.replace(F.replace(F.replace(F.replace(c, F.lit("\\\\"), F.lit("\x00")), F.lit("\\t"), F.lit("\t")), F.lit("\\n"), F.lit("\n")), F.lit("\\r"), F.lit("\r")), F.lit("\x00"), F.lit("\\"))
+
+    def plain(c: F.Column) -> F.Column:
+        """Between two escaped backslashes every other escape is itself."""
+
+        def other(x: F.Column) -> F.Column:
+            for a, b in (("\\t", "\t"), ("\\n", "\n"), ("\\r", "\r")):
+                x = F.replace(x, F.lit(a), F.lit(b))
+            return x
+
+        return F.array_join(F.transform(F.split(c, r"\\\\", -1), other), "\\")
+
     cell = lambda i: F.when(parts[i] != "", plain(parts[i]))
     return spark.read.text(path).select(*[cell(i).cast(f.dataType).alias(f.name) for i, f in enumerate(schema)])
