@@ -6,10 +6,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from measured.plans import bricks, questions
+from measured.plans import bricks, constructs, figures, questions
 
-ALL = questions.QUERIES | bricks.QUERIES
-SQL = questions.SQL | bricks.SQL
+ALL = questions.QUERIES | bricks.QUERIES | constructs.QUERIES | figures.QUERIES
+SQL = questions.SQL | bricks.SQL | constructs.SQL | figures.SQL
 
 
 @pytest.fixture(scope="module")
