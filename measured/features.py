@@ -1,5 +1,9 @@
 """Feature sets: which measures and rewrites are on, by name; and a watch
-that ends what takes too long or too much."""
+that ends what takes too long or too much.
+
+Rewrites and measures ask on() before they act; what is off leaves the query as
+it is written, and a measure unknown, so rows are the same with any set.
+"""
 
 from __future__ import annotations
 
@@ -8,6 +12,7 @@ import threading
 import time
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -44,6 +49,26 @@ def read_sets(path: str | Path) -> dict[str, list[str]]:
     return found["sets"]
 
 
+_active: ContextVar[frozenset[str]] = ContextVar("features", default=frozenset(FEATURES))
+
+
+def on(feature: str) -> bool:
+    """Whether a feature is on here."""
+    if feature not in FEATURES:
+        raise ValueError(f"no feature {feature}")
+    return feature in _active.get()
+
+
+@contextmanager
+def using(name: str, declared: dict[str, list[str]] | None = None) -> Iterator[frozenset[str]]:
+    """A feature set for a block; errors put the one before back too."""
+    token = _active.set(resolved(name, declared))
+    try:
+        yield _active.get()
+    finally:
+        _active.reset(token)
+
+
 class TimedOut(Exception):
     pass
 

@@ -5,8 +5,6 @@ from __future__ import annotations
 import math
 import re
 from dataclasses import dataclass
-from functools import reduce
-from operator import and_
 
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
@@ -142,11 +140,10 @@ def matches(words: Column, q: Query) -> Column:
         return F.lit(False)
     if q.op == "word":
         return F.array_contains(words, q.of[0])
-    if q.op == "phrase" and None in q.of:
-        here = [(k, w) for k, w in enumerate(q.of) if w is not None]
-        return F.exists(F.sequence(F.lit(0), F.size(words)), lambda i: reduce(and_, [F.coalesce(F.get(words, i + k) == w, F.lit(False)) for k, w in here]))
     if q.op == "phrase":
         joined = F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
+        if None in q.of:
+            return joined.rlike(" " + " ".join("[^ ]*" if w is None else re.escape(w) for w in q.of) + " ")
         return joined.contains(" " + " ".join(q.of) + " ")
     if q.op == "not":
         return ~matches(words, q.of[0])

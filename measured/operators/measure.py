@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..features import on
 from ..functions import region, words
 
 log = logging.getLogger("measured")
@@ -45,6 +46,9 @@ class Budget:
             return False
         self.used += size
         self.used_for_stats += size * stats
+        if self.left() == 0 and (what, "stop") not in self.noted:
+            self.noted.add((what, "stop"))
+            log.debug("stopped: %s took the last of %d bytes", what, self.total)
         return True
 
 
@@ -60,6 +64,11 @@ class Round:
 _round: ContextVar[Round | None] = ContextVar("round", default=None)
 
 
+def measuring() -> bool:
+    """Whether a round is on that may read."""
+    return (r := _round.get()) is not None and r.budget.total > 0
+
+
 @contextmanager
 def planning(total: int) -> Iterator[Round]:
     """A round with a budget; inside another it is that one, and an error
@@ -174,7 +183,7 @@ class Watched:
         one pass over the columns it names. None where it is not covered or
         over budget."""
         round_ = _round.get()
-        if round_ is None or not self.covers(text):
+        if round_ is None or not on("row_counts") or not self.covers(text):
             return None
         key = (*self.identity(), "rows", text)
         if key not in round_.memo:
@@ -187,12 +196,18 @@ class Watched:
             log.debug(round_.memo[key].note)
         return round_.memo[key]
 
+    def estimated(self, counted: str, rest: list[float]) -> float | None:
+        """Rows of a predicate of which a part is counted, each condition once,
+        and the rest known only by the planner's shares, taken as independent."""
+        m = self.rows(counted)
+        return None if m is None else m.rows * math.prod(rest)
+
     def stats(self, column: str, most: int = 100) -> Stats | None:
         """Null share, distinct values and, if there are at most ``most``, how
         often each occurs. None over budget."""
         round_ = _round.get()
         key = (*self.identity(), "stats", column)
-        if round_ is None:
+        if round_ is None or not on("column_statistics"):
             return None
         if key not in round_.memo:
             if not round_.budget.draw(f"{self.name}.{column}", self.size, stats=True):
@@ -214,7 +229,7 @@ class Watched:
     def word_rows(self, column: str, q: words.Query) -> float | None:
         """Rows a word query holds: each word's rows counted, shares combined."""
         round_ = _round.get()
-        if round_ is None or not round_.budget.draw(f"{self.name}.{column} words", self.size):
+        if round_ is None or not on("word_counts") or not round_.budget.draw(f"{self.name}.{column} words", self.size):
             return None
         found: list[str] = []
 
@@ -234,7 +249,7 @@ class Watched:
         measured, nor one that requires no trigram."""
         need = words.required(pattern)
         round_ = _round.get()
-        if cased and not words.caseless(pattern) or not need or round_ is None or not round_.budget.draw(f"{self.name}.{column} trigrams", self.size):
+        if cased and not words.caseless(pattern) or not need or round_ is None or not on("word_counts") or not round_.budget.draw(f"{self.name}.{column} trigrams", self.size):
             return None
         grams = words.trigrams(F.col(column))
         return min(self.df.agg(*[F.count_if(F.array_contains(grams, g)) for g in need]).first())

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..features import on
+
 #: Edges, and rows of a walk, that are held as arrays on the driver at most.
 SMALL = 500_000
 
@@ -193,14 +195,17 @@ def reached(edges: DataFrame, start: DataFrame, node: str = "id", parent: str =
             seen = seen.unionByName(front)
 
 
-def closure_size(edges: DataFrame, start: DataFrame, most: int, node: str = "id", parent: str = "parent_id", tally: int = 10_000) -> Closure:
+def closure_size(edges: DataFrame, start: DataFrame, most: int, node: str = "id", parent: str = "parent_id", tally: int = 10_000) -> Closure | None:
     """Counts a closure (UNION ALL) before a query is planned, up to ``most``
     rows. Keeps the number of rows of each value while there are at most
     ``tally``. Only counts leave: nothing of it is put into the plan.
 
     A level is the values of the one before with how often each is reached, so
-    work is that of the distinct values, and none is counted again.
+    work is that of the distinct values, and none is counted again. None where
+    the feature is off.
     """
+    if not on("closures"):
+        return None
     spark = edges.sparkSession
     both = edges.select(F.col(f"`{node}`").alias("_n"), F.col(f"`{parent}`").alias("_p"))
     with tables(spark) as write:

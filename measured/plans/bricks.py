@@ -1,5 +1,6 @@
 """Questions over a two-armed union of what orders bring: plain lines once,
-and the lines of some parts several times; answered in the cheaper spelling."""
+and the lines of some parts several times; both sides of the join grouped first
+where that is proved to give the same rows."""
 
 from __future__ import annotations
 

@@ -201,7 +201,7 @@ def q15_brand_and_word(t: Tables) -> DataFrame:
 def q16_subtree_years(t: Tables) -> DataFrame:
     n = nodes(t)
     named = walk(n, n.where("id = 3").select("id")).join(n.select("id", "name"), "id")
-    o = t.orders.where((F.year("o_orderdate") >= 1996) & (F.year("o_orderdate") < 1998))
+    o = t.orders.where(between("o_orderdate", "1996-01-01", "1998-01-01"))
     return named.join(o, F.col("o_custkey") == F.col("id")).groupBy("id", "name").agg(F.count("*").alias("orders_n")).orderBy(*down("orders_n"), "id")
 
 

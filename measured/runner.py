@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable
+from contextlib import nullcontext
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .features import using, watched
 from .functions.digest import digest
 from .sources.tables import declared
 
@@ -44,10 +46,27 @@ def verdict(found: tuple[int, str] | None, expected: tuple[int, str] | None, err
     return "RIGHT" if found == expected else "WRONG"
 
 
-def run(spark: SparkSession, folder: str, targets: dict[str, dict[str, Question]], expected: DataFrame, cold: int = 1, warm: int = 3) -> DataFrame:
+def derived(spark: SparkSession, folder: str, question: Question, spellings: dict[str, Question]) -> dict[str, str]:
+    """The verdict of each other spelling of a question: it answers as that one
+    if its rows are the same."""
+    want = digest(question(spark, folder))
+    out = {}
+    for name, q in spellings.items():
+        found, error = None, None
+        try:
+            found = digest(q(spark, folder))
+        except Exception as e:  # a spelling that fails has a verdict too
+            error = str(e)[:500] or type(e).__name__
+        out[name] = verdict(found, want, error)
+    return out
+
+
+def run(spark: SparkSession, folder: str, targets: dict[str, dict[str, Question]], expected: DataFrame, cold: int = 1, warm: int = 3, seconds: float | None = None, sets: dict[str, str] | None = None) -> DataFrame:
     """Answers every question on every target (a way to answer it) and holds
-    each against the reference: first cold, in a new session, then warm. The
-    targets' order turns by one from question to question."""
+    each against the reference: first cold, in a new session with nothing
+    cached, then warm. The targets' order turns by one from question to
+    question. ``seconds`` ends an answer that takes longer; ``sets`` names the
+    feature set that a target is answered with."""
     right = {r["question"]: (r["rows"], r["digest"]) for r in expected.collect()}
     rows, names = [], list(targets)
     for i, name in enumerate(dict.fromkeys(n for t in targets.values() for n in t)):
@@ -58,8 +77,11 @@ def run(spark: SparkSession, folder: str, targets: dict[str, dict[str, Question]
                     found, error, began = None, None, time.perf_counter()
                     if q is not None:
                         own = spark.newSession() if phase == "cold" else spark
+                        if phase == "cold":
+                            spark.catalog.clearCache()
                         try:
-                            found = digest(q(own, folder))
+                            with using((sets or {}).get(target, "all")), watched(own, seconds) if seconds else nullcontext():
+                                found = digest(q(own, folder))
                         except Exception as e:  # an answer that fails is a result too
                             error = str(e)[:500]
                     ms = (time.perf_counter() - began) * 1000

@@ -21,7 +21,17 @@ class Tables:
         self.spark, self.folder = spark, folder
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        path = f"{self.folder}/{name}.parquet"
+        fs, p = _files(self.spark, path)
+        status = fs.getFileStatus(p)
+        stamp = (status.getModificationTime(), status.getLen())
+        #: Columns are read once from the files, by a job, and again if these change.
+        if _schemas.get(path, (None, None))[0] != stamp:
+            _schemas[path] = stamp, self.spark.read.parquet(path).schema
+        return self.spark.read.schema(_schemas[path][1]).parquet(path)
+
+
+_schemas: dict[str, tuple[tuple[int, int], T.StructType]] = {}
 
 
 @dataclass(frozen=True)
