@@ -11,7 +11,6 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -142,51 +141,88 @@ def joined(left: DataFrame, right: DataFrame, on, how: str, most: int = BROADCAS
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
+FIRST, SECOND = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+S27, S30, S31 = np.uint64(27), np.uint64(30), np.uint64(31)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finalizer, which spreads every bit."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    y = x >> S30
+    y ^= x
+    y *= FIRST
+    z = y >> S27
+    y ^= z
+    y *= SECOND
+    np.right_shift(y, S31, out=z)
+    y ^= z
+    return y
 
 
 def paired(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """A hash of two hashes, in order. Neither is a linear function of it, so no
-    arrangement of words cancels out, as one in a polynomial can."""
-    return mixed(mixed(a) * ODD + b)
+    """A hash of two hashes that are spread already, in order. No linear function
+    of them, so no arrangement of words cancels out, as one in a polynomial can."""
+    c = a * ODD
+    c += b
+    return mixed(c)
 
 
-class Names(dict):
-    """Place of each word met in ``table``, which holds the halves of its xxh3-128
-    hash. Forgets all words between texts once they take ``most`` bytes."""
+#: Places of a word whose hashes are looked up; the rest are reckoned.
+PLACES = 64
 
-    def __init__(self, most: int = 48 << 20):
-        self.table, self.most, self.held = np.empty((1 << 14, 2), np.uint64), most, 0
 
-    def __missing__(self, word: bytes) -> int:
-        i = len(self)
-        if i == len(self.table):
-            self.table = np.concatenate([self.table, np.empty_like(self.table)])
-        self.table[i] = np.frombuffer(xxhash.xxh3_128_digest(word), np.uint64)
-        self.held += len(word) + 160
-        self[word] = i
-        return i
+def spread(at: np.ndarray, salt: int) -> np.ndarray:
+    """A number for each byte of a word at its place (place * 256 + byte)."""
+    return mixed(mixed(at.astype(np.uint64) + np.uint64(salt)) * ODD + at.astype(np.uint64))
 
-    def hashes(self, words: list[bytes]) -> np.ndarray:
-        """Two hashes of each word, in two rows."""
-        if self.held > self.most:
-            self.clear()
-            self.held = 0
-        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        return self.table[at].T
 
+TABLES = [spread(np.arange(PLACES * 256), salt << 40) for salt in (1, 2)]
+IN_WORD = np.array([b not in b" \t\n\v\f\r" for b in range(256)], np.int8)
+#: Bytes of text hashed at once; a longer text is cut between words.
+PART = 1 << 22
 
-_names = Names()
 
+def word_hashes(text: bytes, lower: bool = False, both: bool = False) -> np.ndarray:
+    """64-bit hashes of the words of a text, parted by white space of ASCII; of
+    their form with A-Z as a-z if ``lower``. With ``both`` two rows, of hashes
+    that have nothing to do with each other.
 
-def word_hashes(text: bytes, lower: bool = False) -> np.ndarray:
-    """Two 64-bit hashes, in two rows, of each word of a text, parted by white
-    space of ASCII; of its form with A-Z as a-z if ``lower``."""
-    return _names.hashes((text.translate(LOWER_AZ) if lower else text).split())
+    A hash is a sum of numbers that stand for each byte at its place in the word
+    (tabulation), so that two words meet by chance alone, whatever their letters
+    and length. All words of a text are hashed together.
+    """
+    text = text.translate(LOWER_AZ) if lower else text
+    parts, at = [], 0
+    while at < len(text) or not parts:
+        end = at + PART
+        while end < len(text) and IN_WORD[text[end]]:
+            end += 1
+        parts.append(_hashes(np.frombuffer(text, np.uint8, min(end, len(text)) - at, at) if text else np.zeros(0, np.uint8), both))
+        at = end
+    out = parts[0] if len(parts) == 1 else np.concatenate(parts, 1)
+    return out if both else out[0]
+
+
+def _hashes(a: np.ndarray, both: bool) -> np.ndarray:
+    inside = np.zeros(len(a) + 2, np.int8)
+    np.take(IN_WORD, a, out=inside[1:-1])
+    edge = np.flatnonzero(inside[1:] != inside[:-1])
+    if not len(edge):
+        return np.zeros((1 + both, 0), np.uint64)
+    size = edge[1::2] - edge[::2]
+    first = np.cumsum(size) - size
+    letters = a[inside[1:-1].view(bool)]
+    at = np.arange(len(letters), dtype=np.int64 if size.max() >= 1 << 22 else np.int32)
+    at -= np.repeat(first.astype(at.dtype), size)
+    at <<= 8
+    at |= letters
+    far = np.flatnonzero(at >= PLACES * 256) if size.max() > PLACES else []
+    out = []
+    for k in range(1 + both):
+        values = np.take(TABLES[k], at, mode="clip")
+        if len(far):
+            values[far] = spread(at[far], (k + 1) << 40)
+        out.append(mixed(np.add.reduceat(values, first) + size.astype(np.uint64)))
+    return np.stack(out)
 
 
 def utf8(column: pa.Array) -> list[bytes]:

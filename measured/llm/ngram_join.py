@@ -12,9 +12,9 @@ similar to. Sets that sizes or places exclude don't meet.
 Tiles are cut into cells of bounded size, in which sets of different components
 are compared: a pair must pass size, place and the bit counts of two hashed
 bitmaps, which all bound the overlap from above, before the sorted arrays are
-intersected. Two rounds take only each set's nearest few by that bound, which
-joins large groups of copies with few pairs; the last takes every pair that is
-left between different components.
+intersected. Two rounds take only each set's nearest few by that bound in some of
+the tiles, which joins large groups of copies with few pairs; the last takes every
+pair of all tiles that is left between different components.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ODD, drop_written, joined, mixed, numbered, reach, scope, slices, utf8, word_hashes, written
+from .common import ODD, S30, drop_written, joined, mixed, numbered, reach, scope, slices, utf8, word_hashes, written
 from .components import components
 from .substrings import keyed
 
@@ -42,22 +42,26 @@ COUNTERS, BLOCK = 1 << 20, 1 << 12
 BITS = 16
 #: Sets to be found in a cell, and sets that search in a cell of the last round.
 CELL, WIDE = 256, 4096
-#: Pairs a set has at most in a round before the last.
-MATES = 3
+#: Pairs a set has at most in a round before the last, which looks at the tiles of
+#: one shingle in so many.
+MATES, PART_OF = 3, 4
 
 
 def shingles(text: bytes) -> np.ndarray:
     """Hashes of the distinct shingles of a text, sorted."""
-    h = word_hashes(text, lower=True)[0]
+    h = word_hashes(text, lower=True)
     if not len(h):
         return h
     k = min(SHINGLE, len(h))
     n = len(h) - k + 1
     a = np.full(n, k, np.uint64)
     for j in range(k):
-        a = (a ^ h[j : j + n]) * ODD
-        a ^= a >> np.uint64(29)
-    return np.unique(mixed(a))
+        a ^= h[j : j + n]
+        a *= ODD
+        a ^= a >> S30
+    a = mixed(a)
+    a.sort()
+    return a[np.concatenate(([True], a[1:] != a[:-1]))]
 
 
 def slot(tokens: np.ndarray) -> np.ndarray:
@@ -476,9 +480,11 @@ def _grouped(docs: DataFrame, rows: bool, keep) -> DataFrame:
     tiles = written(shared(postings(first, sketch(all_), names)), "tiles")
     told = written(tiles.withColumn("label", F.col("sid")), "labelled")
     links = None
-    for last in (False, False, True):
+    for k in range(3):
+        last = k == 2
         with scope() as on:
-            pairs = cell_pairs(all_cells(told, reps) if last else some_cells(told, reps), best=not last)
+            some = told.where(F.pmod("token", F.lit(PART_OF)) == k)
+            pairs = cell_pairs(all_cells(told, reps) if last else some_cells(some, reps), best=not last)
             more = linked(pairs.select("a", "b").distinct() if last else nearest(pairs), reps, d)
             on(more)
         links = more if links is None else links.unionByName(more)

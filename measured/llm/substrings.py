@@ -35,7 +35,7 @@ class Hashed:
     of 1, 2, 4 .. words: two of those that overlap make any other."""
 
     def __init__(self, text: bytes):
-        first, self.other = word_hashes(text)
+        first, self.other = word_hashes(text, both=True)
         self.n = len(first)
         self.levels = [mixed(first)]
 
