@@ -268,12 +268,13 @@ def cell_table(df: DataFrame, at: list[str], size: float) -> DataFrame:
     return df.where(" and ".join(f"`{c}` is not null" for c in at)).groupBy(*cells).agg(F.count("*").alias("n"))
 
 
-def region_rows(cells: DataFrame, size: float, centre: list[float], radius: float, box: bool = False, most: int = 100_000, sphere: float | None = None) -> float | None:
+def region_rows(cells: DataFrame, size: float, centre: list[float], radius: float, box: bool = False, most: int = 100_000, sphere: float | None = None, coarsen: bool = False) -> float | None:
     """Rows in a ball (or box of half side radius) by its cells: whole ones
     count in full, those on the edge by the share of their extent inside; of
     places on a ``sphere`` around the origin, by the share of its surface. Only
-    cells the region touches are read. More than ``most`` of them are added up
-    to cells twice as wide, and so on: coarser, never dropped."""
+    cells the region touches are read, ``most`` of them at most, else None; or,
+    with ``coarsen``, they are added up to cells twice as wide until they fit.
+    """
     while True:
         near = F.lit(True)
         for i, c in enumerate(centre):
@@ -281,6 +282,8 @@ def region_rows(cells: DataFrame, size: float, centre: list[float], radius: floa
         found = cells.where(near).limit(most + 1).collect()
         if len(found) <= most:
             break
+        if not coarsen or len(found) <= 2 ** len(centre):
+            return None
         cells = cells.groupBy(*[F.floor(F.col(f"cell{i}") / 2).alias(f"cell{i}") for i in range(len(centre))]).agg(F.sum("n").alias("n"))
         size *= 2
     total, ball = 0.0, region.Cube.around(centre, radius)

@@ -206,9 +206,12 @@ def closure_size(edges: DataFrame, start: DataFrame, most: int, node: str = "id"
     """
     if not on("closures"):
         return None
-    spark = edges.sparkSession
+    first = _pairs(start, node)
+    small = _pairs(edges, node, parent) if first is not None else None
+    if small is not None:
+        return _small_closure(Edges(small, first["c0"]), most, tally)
     both = edges.select(F.col(f"`{node}`").alias("_n"), F.col(f"`{parent}`").alias("_p"))
-    with tables(spark) as write:
+    with tables(edges.sparkSession) as write:
         both = write(both)
         front = start.groupBy(F.col(f"`{node}`").alias("_n")).agg(F.count("*").alias("times"))
         rows, per = 0, {}
@@ -228,6 +231,29 @@ def closure_size(edges: DataFrame, start: DataFrame, most: int, node: str = "id"
             front = both.join(front.withColumnRenamed("_n", "_p"), "_p").groupBy("_n").agg(F.sum("times").alias("times"))
 
 
+def _small_closure(e: Edges, most: int, tally: int) -> Closure:
+    """closure_size() by arrays; times are Python's whole numbers, which on a
+    cycle grow past 64 bits."""
+    front, n = np.unique(e.start, return_counts=True)
+    times, rows, per = n.astype(object), 0, {}
+    while len(front):
+        rows += int(times.sum())
+        if per is not None and len(front) <= tally:
+            for v, k in zip(front, times, strict=True):
+                name = None if v < 0 else e.names[v]
+                per[name] = per.get(name, 0) + int(k)
+        if len(front) > tally or per is not None and len(per) > tally:
+            per = None
+        if rows > most:
+            return Closure(rows, False, None)
+        below, of = e.below(front)
+        front, place = np.unique(below, return_inverse=True)
+        reached_ = np.zeros(len(front), object)
+        np.add.at(reached_, place, times[of])
+        times = reached_
+    return Closure(rows, True, per)
+
+
 def self_contained(spark: SparkSession, text: str) -> bool:
     """Whether a recursive query can be run before the query it is part of: it
     has no parameter, no function that changes from call to call, and every
