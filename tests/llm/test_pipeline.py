@@ -41,3 +41,14 @@ def test_stages_keep_columns(spark, small):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, small)
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def test_pipeline_of_no_documents_and_clashing_columns(spark, tmp_path):
+    for name, df in (("none", cases.empty(spark)), ("extra", cases.documents(spark).selectExpr("*", "'x' as label", "2 as row", "3 as _spans"))):
+        df.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([(1, cases.rows()[6][1])], "item_id bigint, text string").selectExpr("*", "1 as name").write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+    cases.documents(spark).write.parquet(f"{tmp_path}/plain/documents.parquet")
+    spark.createDataFrame([(1, cases.rows()[6][1])], "item_id bigint, text string").write.parquet(f"{tmp_path}/plain/benchmark.parquet")
+    key = lambda d: cases.bag(corpus_pipeline.run(spark, f"{tmp_path}/{d}").select("doc_id", "ids_sha256"))
+    assert key("extra") == key("plain")
