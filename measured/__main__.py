@@ -1,11 +1,11 @@
-"""python -m measured: truth, run, check, summarize, compose, export, import."""
+"""python -m measured: truth, run, check, sample, summarize, compose, export, import."""
 
 from __future__ import annotations
 
 import argparse
 import sys
 
-from . import runner
+from . import reports, runner
 from .plans import bricks, compose, questions
 from .session import session
 from .sources import tables
@@ -30,6 +30,10 @@ def main(argv: list[str] | None = None) -> int:
         a.add_argument("source")
         a.add_argument("target")
         a.add_argument("--kind", choices=["expected", "results"], required=True)
+    a = c.add_parser("sample", help="a declared quick check: its questions answered twice alike")
+    a.add_argument("file", help="JSON of samples")
+    a.add_argument("name")
+    a.add_argument("--lock", default=".measured.lock", help="file that lets one check run at a time")
     o = p.parse_args(argv)
     if o.what == "compose":
         print(compose.compose(o.template, o.search))
@@ -48,6 +52,15 @@ def main(argv: list[str] | None = None) -> int:
         s.orderBy("question", "target", "phase").show(1000, truncate=False)
         return runner.status(s)
     all_ = questions.QUERIES | bricks.QUERIES
+    if o.what == "sample":
+        s = reports.samples(o.file)[o.name]
+        with reports.alone(o.lock):
+            try:
+                runner.truth(spark, s["folder"], {k: all_[k] for k in s["questions"]}).show(truncate=False)
+            except runner.Unsteady as e:
+                print(f"{e} answers differently twice")
+                return runner.STATUS["WRONG"]
+        return 0
     own = {k: all_[k] for k in o.only or all_}
     if o.what == "truth":
         tables.write_typed(runner.truth(spark, o.folder, own), runner.EXPECTED, o.out)

@@ -5,6 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from measured import __main__ as cli
 from measured import features, reports, runner
 from measured.functions import geo, region, spellings, stems, words
 from measured.operators import footers, measure, overlap, pressure, statistics
@@ -151,6 +152,8 @@ def test_samples_targets_and_keys(spark, t, tmp_path):
     (tmp_path / "bad.json").write_text('{"samples": {"quick": {"questions": []}}}')
     with pytest.raises(ValueError):
         reports.samples(tmp_path / "bad.json")
+    (tmp_path / "s2.json").write_text('{"samples": {"quick": {"questions": ["q12_listed_sizes"], "folder": "%s"}}}' % t.folder)
+    assert cli.main(["sample", str(tmp_path / "s2.json"), "quick", "--lock", str(tmp_path / "lock2")]) == 0
     with reports.alone(tmp_path / "lock"), pytest.raises(RuntimeError), reports.alone(tmp_path / "lock"):
         pass
     one = reports.target(spark, {"nation": t.nation})
