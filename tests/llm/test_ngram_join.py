@@ -34,15 +34,9 @@ def test_small_cells_and_blocks(spark, monkeypatch):
     assert cases.bag(ngram_join.digests(df)) == plain_join(rows)
 
 
-def test_large_cells(spark):
+def test_large_cells_and_sets_of_every_size_and_place(spark):
     r = random.Random(22)
-    rows, df = rows_of(spark, [t for n in (300, 200) for t in copies(r, n, most=9)])
-    assert cases.bag(ngram_join.digests(df)) == plain_join(rows)
-
-
-def test_sets_by_every_size_and_place(spark):
-    r = random.Random(23)
-    texts = []
+    texts = [t for n in (300, 200) for t in copies(r, n, most=9)]
     for n in range(5, 60):
         base = [f"a{n}x{i}" for i in range(n)]
         texts += [" ".join(base), " ".join(base[: -(-3 * n // 4)]), " ".join(base[n // 4 :]), " ".join(base + [f"b{i}" for i in range(n // 3)]), " ".join(base[r.randrange(3) :])]
