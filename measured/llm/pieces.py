@@ -98,23 +98,25 @@ class Pieces:
                 longest[start] = size
         failed = bytearray((n >> 3) + 1)
         out: list[str] = []
-        at, size = 0, longest[0]
+        reached, fits = self.reached, self.fits
+        at, size, before = 0, longest[0], ""
         while at < n:
             while size:
-                piece = text[at : at + size]
-                to = at + size
-                if piece in self.reached and not failed[to >> 3] >> (to & 7) & 1 and (not out or self.compatible(out[-1], piece)):
-                    break
+                piece, to = text[at : at + size], at + size
+                if piece in reached and not failed[to >> 3] >> (to & 7) & 1:
+                    if not before or fits.get((before, piece)) or self.compatible(before, piece):
+                        break
                 size -= 1
             if size:
                 out.append(piece)
-                at = to
+                at, before = to, piece
                 size = longest[at] if at < n else 0
             else:
                 if not out:
                     raise ValueError("no encoding")
                 failed[at >> 3] |= 1 << (at & 7)
                 size = len(out.pop())
+                before = out[-1] if out else ""
                 at -= size
                 size -= 1
         return out
@@ -125,17 +127,17 @@ class Pieces:
         if known is not None:
             return known
         out: list[int] = []
-        start = 0
-        for i in range(1, len(text) + 1):
-            if i == len(text) or text[i - 1 : i + 1] not in self.inner:
-                run = text[start:i]
-                if run in self.id_of and run in self.reached:
-                    out.append(self.id_of[run])
-                elif len(run) == 1:
-                    out += [self.byte_id[b] for b in run.encode()] if self.byte_id else [self.unknown]
-                else:
-                    out += [self.id_of[p] for p in self.parse(run)]
-                start = i
+        start, inner = 0, self.inner
+        cuts = [i for i in range(1, len(text)) if text[i - 1 : i + 1] not in inner]
+        for i in [*cuts, len(text)]:
+            run = text[start:i]
+            if run in self.reached:
+                out.append(self.id_of[run])
+            elif len(run) == 1:
+                out += [self.byte_id[b] for b in run.encode()] if self.byte_id else [self.unknown]
+            else:
+                out += [self.id_of[p] for p in self.parse(run)]
+            start = i
         got = tuple(out)
         if len(self.kept) < self.most and len(text) < 64:
             self.kept[text] = got
